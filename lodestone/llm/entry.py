@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_spread, packing, poisson_mix
+from . import line_spread, packing, poisson_mix, secret_scan, webp_media
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op2_poisson_mix": poisson_mix.op2_poisson_mix,
         "op3_line_spread": line_spread.op3_line_spread,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
+        "op7_webp_media": webp_media.op7_webp_media,
+        "op9_secret_scan": secret_scan.op9_secret_scan,
     }
 
 
