@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_spread, packing, poisson_mix, secret_scan, webp_media
+from . import line_spread, ngram_lm, packing, poisson_mix, secret_scan, webp_media
 
 
 def queries():
     return {
+        "op1_ngram_lm": ngram_lm.op1_ngram_lm,
         "op2_poisson_mix": poisson_mix.op2_poisson_mix,
         "op3_line_spread": line_spread.op3_line_spread,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
