@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_spread, ngram_lm, packing, poisson_mix, secret_scan, webp_media
+from . import jaccard_join, line_spread, ngram_lm, packing, poisson_mix, secret_scan, webp_media
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_line_spread": line_spread.op3_line_spread,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op7_webp_media": webp_media.op7_webp_media,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_secret_scan": secret_scan.op9_secret_scan,
     }
 
