@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_spread, ngram_lm, packing, poisson_mix, secret_scan, webp_media
+from . import jaccard_join, line_spread, mih_search, ngram_lm, packing, poisson_mix, secret_scan, webp_media
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op7_webp_media": webp_media.op7_webp_media,
         "op8_jaccard_join": jaccard_join.op8_jaccard_join,
         "op9_secret_scan": secret_scan.op9_secret_scan,
+        "op10_mih_search": mih_search.op10_mih_search,
     }
 
 
