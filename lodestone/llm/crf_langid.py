@@ -29,7 +29,8 @@ from .common import fold, table
 FOLDS, HELD_OUT = 5, 0
 SAMPLE, TRAIN_CHARS = 300, 4000
 CHAIN, MAX_CHAINS, EPOCHS = 24, 6000, 3
-SPACE, LEXICON = 1 << 16, 400
+SPACE_BITS, LEXICON = 16, 400
+SPACE = 1 << SPACE_BITS
 UNDETERMINED = "und"
 #: Cells of a padded batch of chains, and words whose scores are kept at a time.
 CELLS, KEPT_WORDS = 1 << 20, 400_000
@@ -37,37 +38,64 @@ CELLS, KEPT_WORDS = 1 << 20, 400_000
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, segments array<struct<first:int,words:int,lang:string>>"
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a lower-case word: itself, affixes to 3 characters, n-grams of 2 and 3 within marks of its ends."""
-    w = word.strip(".,;:!?\"'()[]{}<>|#*%$&-_/\\")
-    b = f"\x02{w}\x03"
-    grams = [w, "\0" + w[:1], "\0" + w[:2], "\0" + w[:3], "\1" + w[-1:], "\1" + w[-2:], "\1" + w[-3:]]
-    grams += [b[i : i + 2] for i in range(len(b) - 1)]
-    grams += [b[i : i + 3] for i in range(len(b) - 2)]
-    crc = zlib.crc32
-    return [crc(g.encode()) & (SPACE - 1) for g in grams]
+#: Stripped from a word's ends before its characters are read (fixed values).
+MARKS = ".,;:!?\"'()[]{}<>|#*%$&-_/\\"
+
+
+def _slot(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(64 - SPACE_BITS)).astype(np.int32)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of lower-case words, all at once.
+
+    Returns per character (with a mark at each end of a word) the slots of the 2-gram and the 3-gram that begin there, (chars, 2);
+    per word those of itself and of its affixes of 3 characters, (words, 3); and where the words begin. Affixes of 1 and 2
+    characters are the n-grams with a mark. SPACE is the slot of what isn't there: its weights are 0.
+    """
+    own = [w.strip(MARKS) for w in words]
+    size = np.fromiter(map(len, own), np.int64, len(own)) + 2
+    c = np.frombuffer("".join(f"\x02{w}\x03" for w in own).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    start = np.cumsum(size) - size
+    end = start + size - 1
+    with np.errstate(over="ignore"):
+        pad = np.concatenate([c, np.zeros(3, np.uint64)])
+        two = pad[:-3] * np.uint64(0x100000001B3) + pad[1:-2]
+        three = two * np.uint64(0x100000001B3) + pad[2:-1]
+        four = three * np.uint64(0x100000001B3) + pad[3:]
+        grams = np.stack([_slot(two, 2), _slot(three, 3)], axis=1)
+        grams[end] = SPACE
+        grams[end - 1, 1] = SPACE
+        at = np.arange(len(c)) - np.repeat(start, size)
+        power = np.cumprod(np.full(int(size.max(initial=1)), 0xD6E8FEB86659FD93, np.uint64))
+        whole = np.add.reduceat(c * power[at], start) if len(c) else c
+        long = size >= 5
+        affix = lambda where, salt: np.where(long, _slot(four[np.where(long, where, 0)], salt), SPACE)
+        per_word = np.stack([_slot(whole, 1), affix(start, 4), affix(end - 3, 5)], axis=1)
+    return grams, per_word, start
 
 
 class Model:
-    """Weights: of features (SPACE + one per lexicon, labels), transitions (from, to), start; lexicon: word -> bits of languages."""
+    """Weights: of features (SPACE slots, one that stays 0, one per lexicon; labels), transitions (from, to), start; lexicon: word -> bits of languages."""
 
     def __init__(self, labels: list[str], lexicon: dict[str, int]):
         n = len(labels)
         self.labels, self.lexicon = labels, lexicon
-        self.w = np.zeros((SPACE + n, n), np.float32)
+        self.w = np.zeros((SPACE + 1 + n, n), np.float32)
         self.a, self.s = np.zeros((n, n)), np.zeros(n)
 
-    def of(self, word: str) -> list[int]:
-        out = features(word)
-        bits = self.lexicon.get(word, 0)
-        return out + [SPACE + k for k in range(len(self.labels)) if bits >> k & 1] if bits else out
+    def lexical(self, words: list[str]) -> np.ndarray:
+        """(words, labels): whether a word is in a language's lexicon."""
+        bits = np.fromiter((self.lexicon.get(w, 0) for w in words), np.int64, len(words))
+        return (bits[:, None] >> np.arange(len(self.labels))) & 1
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores (words, labels)."""
-        rows = [self.of(w) for w in words]
-        n = np.array([len(r) for r in rows])
-        flat = np.fromiter((x for r in rows for x in r), np.int32, int(n.sum()))
-        return np.add.reduceat(self.w[flat], np.cumsum(n) - n, axis=0) if len(rows) else np.zeros((0, len(self.labels)), np.float32)
+        grams, per_word, start = features(words)
+        w = self.w
+        out = np.add.reduceat(w[grams[:, 0]] + w[grams[:, 1]], start, axis=0) + w[per_word].sum(axis=1)
+        return out + self.lexical(words).astype(np.float32) @ w[SPACE + 1 :]
 
 
 def marginals(score: np.ndarray, lens: np.ndarray, a: np.ndarray, s: np.ndarray, pairs: bool = False):
@@ -144,7 +172,10 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model | None:
     vocab: dict[str, int] = {}
     ids = [[vocab.setdefault(w, len(vocab)) for w, _ in c] for c in chains]
     gold = [[k for _, k in c] for c in chains]
-    feats = [np.array(model.of(w), np.int32) for w in vocab]
+    grams, per_word, start = features(list(vocab))
+    lex = model.lexical(list(vocab))
+    parts = np.split(grams, start[1:])
+    feats = [np.concatenate([g.ravel(), p, SPACE + 1 + np.flatnonzero(x)]) for g, p, x in zip(parts, per_word, lex)]
     n, rate = len(labels), 0.3
     gw, ga, gs = np.full_like(model.w, 1e-6), np.full((n, n), 1e-6), np.full(n, 1e-6)
     for epoch in range(EPOCHS):
@@ -173,6 +204,7 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model | None:
             grad += 1e-3 * model.w[used]
             gw[used] += grad**2
             model.w[used] -= rate * grad / np.sqrt(gw[used])
+            model.w[SPACE] = 0
             both = on[1:] & on[:-1]
             np.add.at(trans, (y[:-1][both], y[1:][both]), -1.0)
             np.add.at(first, y[0], -1.0)
@@ -204,7 +236,7 @@ def label(model: Model, texts: list[str | None], known: tuple | None = None) ->
     chains = [np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)) for w in ((t or "").lower().split() for t in texts)]
     if numbers.pending:
         scores[0] = np.concatenate([scores[0], model.emissions(numbers.pending)])
-        letters[0] = np.concatenate([letters[0], np.array([any(c.isalpha() for c in w) for w in numbers.pending])])
+        letters[0] = np.concatenate([letters[0], np.array([w[0].isalpha() or any(c.isalpha() for c in w) for w in numbers.pending])])
         numbers.pending = []
     out: list = [(UNDETERMINED, 0.0, 0, [])] * len(texts)
     order = sorted((i for i in range(len(texts)) if len(chains[i])), key=lambda i: -len(chains[i]))
