@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, table
 
@@ -35,7 +36,7 @@ UNDETERMINED = "und"
 #: Cells of a padded batch of chains, and words whose scores are kept at a time.
 CELLS, KEPT_WORDS = 1 << 20, 400_000
 
-OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, segments array<struct<first:int,words:int,lang:string>>"
+ADDED = "lang_pred string, score double, n_words long, segments array<struct<first:int,words:int,lang:string>>"
 
 
 #: Stripped from a word's ends before its characters are read (fixed values).
@@ -274,17 +275,20 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score, n_words and segments (first word, words, lang)."""
+    """The columns of docs, then lang_pred, score, n_words and segments (first word, words, lang); an added column replaces one of its name."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     model = spark.sparkContext.broadcast(train(training_rows(docs, id_col, text_col, lang_col, sample)))
-    names = [f.split()[0] for f in OUT.split(", ")]
+    added = T.StructType.fromDDL(ADDED)
+    keep = [c for c in docs.columns if c not in added.names]
+    kept = docs.select(F.col(f"`{text_col}`").cast("string").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kept.schema.fields[1:]], *added])
     segment = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))
 
     def run(batches):
         known = None
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(0).to_pylist()
             if model.value is None:
                 rows = [(UNDETERMINED, 0.0, len((t or "").split()), []) for t in texts]
             else:
@@ -292,12 +296,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     known = (_Words(), [np.zeros((0, len(model.value.labels)), np.float32)], [np.zeros(0, bool)])
                 rows = label(model.value, texts, known)
             cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int64(), segment)))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.int64(), segment)))], schema.names)
 
-    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (fold(f"`{id_col}`", FOLDS) == HELD_OUT).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    return kept.mapInArrow(run, OUT)
+    return kept.mapInArrow(run, schema)
 
 
 def op6_crf_langid(spark, sf_dir):
-    out = identify(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = identify(docs.withColumn("held_out", fold("doc_id", FOLDS) == HELD_OUT))
     return out.select("doc_id", "held_out", "lang_pred", "score", "n_words", F.size("segments").cast("long").alias("n_segments"))
