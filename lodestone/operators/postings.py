@@ -12,9 +12,22 @@ from pyspark.sql import types as T
 from ..functions import covering as cov
 from ..functions.keys import key_expr
 
-SCHEMA = T.StructType.fromDDL(
-    "key string, fragment_id string, seq bigint, bucket int, file_path string, row_numbers array<bigint>, value_count bigint, "
-    f"covering {cov.TYPE}, file_size bigint, file_mtime_ms bigint, file_etag string, tombstone boolean"
+_COVERING = T.StructType([T.StructField("value_count", T.LongType()), T.StructField("total", T.DecimalType(38, 6)), T.StructField("min_ts", T.LongType()), T.StructField("max_ts", T.LongType())])
+SCHEMA = T.StructType(
+    [
+        T.StructField("key", T.StringType()),
+        T.StructField("fragment_id", T.StringType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("file_path", T.StringType()),
+        T.StructField("row_numbers", T.ArrayType(T.LongType())),
+        T.StructField("value_count", T.LongType()),
+        T.StructField("covering", _COVERING),
+        T.StructField("file_size", T.LongType()),
+        T.StructField("file_mtime_ms", T.LongType()),
+        T.StructField("file_etag", T.StringType()),
+        T.StructField("tombstone", T.BooleanType()),
+    ]
 )
 
 
