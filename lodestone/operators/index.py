@@ -293,6 +293,10 @@ class Index:
         stones = self.store.entries().filter("tombstone").select("key").distinct()
         forgotten = self.store.forgotten().select("key").unionByName(stones).distinct().count()
         files = live.groupBy("file_path").agg(F.max_by("file_size", "seq").alias("file_size"), F.max_by("file_mtime_ms", "seq").alias("file_mtime_ms"), F.max_by("file_etag", "seq").alias("file_etag")).withColumn("role", F.lit("live"))
+        events = self.store.files()
+        last_seq = events.filter("snapshot").agg(F.max("seq").alias("seq"))
+        deletes = events.filter("role = 'delete'").join(F.broadcast(last_seq), "seq", "left_semi")  # one row; the next snapshot is compared with these
+        files = files.unionByName(deletes.select(*files.columns))
         snapshot = max((m["seq"], m["snapshot_id"]) for m in ms if m["snapshot_id"] is not None)[1] if any(m["snapshot_id"] is not None for m in ms) else None
         fragment_id = fragment_id or f"compact-{time.time_ns() // 1_000_000}"
         self.store.append(fragment_id, live, files, last["num_buckets"], key_columns=last["key_columns"], value_columns=last["value_columns"], snapshot_id=snapshot, kind="snapshot" if snapshot is not None else "compact", note="compact", subset=any(m["subset"] for m in ms), replace=True)
