@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, table
+from .common import fold, ship, table
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE, TRAIN_CHARS = 300, 4000
@@ -277,6 +277,7 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sa
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """The columns of docs, then lang_pred, score, n_words and segments (first word, words, lang); an added column replaces one of its name."""
     spark = docs.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     model = spark.sparkContext.broadcast(train(training_rows(docs, id_col, text_col, lang_col, sample)))
     added = T.StructType.fromDDL(ADDED)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 from .html_blocks import Block, blocks
 
 PATH, WORDS, MEASURES, HIDDEN = 160, 48, 7, 24
@@ -353,6 +353,7 @@ def sample_words(pages: DataFrame, id_col: str, html_col: str, n: int = WORD_PAG
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     net = spark.sparkContext.broadcast(train(sample_words(pages, id_col, html_col)))
     names = [f.split()[0] for f in OUT.split(", ")]

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, ship, table
 
 K, QUERY_MOD = 20, 20
 BITS, SUB = 64, 16
@@ -140,6 +140,7 @@ def learn_radius(x: np.ndarray, model: tuple, k: int = K, queries: int = CALIBRA
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_mod: int = QUERY_MOD, bits: int = BITS) -> DataFrame:
     """For each vector whose id is divisible by query_mod its k nearest others: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
+    ship(spark)
     scratch = Scratch(spark)
     v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).filter("id is not null and v is not null and size(v) > 0")
     v = v.filter("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")

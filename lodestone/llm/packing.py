@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WORD, partitions, table
+from .common import WORD, Scratch, ship, table
 
 CAPACITY = 2048
 #: Pieces per shard, in the mean.
@@ -92,6 +92,7 @@ def _codes(*cols) -> np.ndarray:
 def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, slots: int = SLOTS, shard_size: int = SHARD) -> DataFrame:
     """A row per piece: shard, bin (unique with shard), pos in the bin, doc_id, copy, piece, start (token), n_tokens, source."""
     spark = docs.sparkSession
+    ship(spark)
     text = F.col(f"`{text_col}`")
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(lower).alias("cluster"), F.regexp_count(text, F.lit(WORD)).alias("tokens"))

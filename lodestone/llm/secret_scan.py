@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, ship, table
 
 KINDS = ("assign", "access", "hex", "generic")
 EXAMPLE_OWNERS = 3
@@ -81,6 +81,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner:
                 rows.append([{"start": s, "rank": k, "end": e, "value": hashlib.md5(v.encode()).hexdigest(), "random": entropy(v) >= LIVE_BITS} for s, k, e, v in scan(text or "")])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, _TYPE)], ["doc_id", "repo", "owner", "found"])
 
+    ship(docs.sparkSession)
     kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(repo, F.lit("\0")).alias("repo"), F.coalesce(owner, F.lit("\0")).alias("owner"), F.col(f"`{text_col}`").alias("text"))
     return kept.mapInArrow(run, _FOUND)
 

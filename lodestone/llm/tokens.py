@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Bytes of text from which a block is closed.
 BLOCK_BYTES = 12 << 20
 #: Number and hash of the token that ends every text; the hash is a fixed value.
@@ -104,6 +106,7 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, mark: Column | Non
         if ids:
             yield block()
 
+    ship(docs.sparkSession)
     kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), (F.lit(0) if mark is None else mark).cast("int").alias("mark"))
     return kept.mapInArrow(run, BLOCKS)
 
