@@ -20,6 +20,7 @@ CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
 SCOPE = frozenset("ul ol dl table body html article section div main aside".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(>|\Z)""", re.S)
+_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 
@@ -43,7 +44,7 @@ def blocks(page: str) -> list[Block]:
     tags: list[str] = []
     names: list[str] = []
     parts: list[str] = []
-    linked, at, raw, anchors = 0, 0, None, 0
+    linked, at, anchors = 0, 0, 0
 
     def close_block():
         nonlocal parts, linked
@@ -61,8 +62,8 @@ def blocks(page: str) -> list[Block]:
         anchors -= tags[to:].count("a")
         del tags[to:], names[to:]
 
-    for m in _TAG.finditer(page):
-        if raw is None and m.start() > at:
+    while m := _TAG.search(page, at):
+        if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
             if anchors:
@@ -72,10 +73,6 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
-        if raw is not None:
-            if m[1] and tag == raw:
-                raw = None
-            continue
         if m[1]:
             if tag in tags:
                 pop(len(tags) - 1 - tags[::-1].index(tag))
@@ -108,11 +105,13 @@ def blocks(page: str) -> list[Block]:
                 elif tags[i] in SCOPE:
                     break
         if tag in RAW:
-            raw = None if m[3].endswith("/") else tag
+            if not m[3].endswith("/"):  # what stands within is no markup: go to its end tag
+                end = _END[tag].search(page, at)
+                at = end.end() if end else len(page)
         elif tag not in VOID:
             tags.append(tag)
             names.append(_name(tag, m[3]))
-    if raw is None and at < len(page) and not (m_end := page[at:]).startswith("<") and m_end:
-        parts.append(m_end)
+    else:
+        parts += [page[at:]] * (at < len(page))
     close_block()
     return out
