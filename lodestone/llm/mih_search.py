@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, table
+from .common import Scratch, first_by_hash, ship, table
 
 K, QUERY_MOD = 20, 20
 BITS, SUB = 64, 16
@@ -149,13 +149,13 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         return spark.createDataFrame([], OUT)
     dim = dim["d"]
     v = scratch.write("vectors", v.filter(F.size("v") == dim))
-    sample = v.orderBy(F.xxhash64("id"), "id").limit(FIT).toPandas()["v"]
+    n = v.count()
+    sample = first_by_hash(v, "id", FIT, n, "v").toPandas()["v"]
     sample = np.stack(sample.to_list())
     bits = -(-bits // 64) * 64
     model = learn_rotation(sample, bits)
     radius = learn_radius(sample, model, k)
 
-    n = v.count()
     blocks, chunks = math.ceil(n / BLOCK_ROWS), max(1, math.ceil(n / query_mod / CHUNK_ROWS))
     pair = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     rows = v.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("chunk", pair).withColumn("query", F.lit(False))
