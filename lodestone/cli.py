@@ -84,6 +84,7 @@ def parser() -> argparse.ArgumentParser:
     q = add("explain", "what a query would touch")
     lookup_args(q)
     q.add_argument("--limit", type=int)
+    q.add_argument("--pages", action="store_true", help="read footers for the pages that hold the key's rows")
     q = add("secondary-build", "index another column")
     q.add_argument("--dimension", required=True)
     q = add("secondary-query", "rows by another column: a value (or prefix), or a range")
@@ -154,7 +155,7 @@ def run(a, spark, out=sys.stdout) -> int:
     elif a.command == "query":
         show(query_json(index, encode_cli_key(a.key), _options(a)))
     elif a.command == "explain":
-        show(index.explain(encode_cli_key(a.key), _options(a)))
+        show(index.explain(encode_cli_key(a.key), _options(a), a.pages))
     elif a.command == "secondary-build":
         Secondary(index, a.dimension).build()
         show({"dimension": a.dimension})

@@ -15,6 +15,7 @@ from ..functions.keys import bucket_of, key_expr, typed_predicate
 from ..functions.times import millis
 from ..plans.liveness import last_wins
 from ..plans.store import Store
+from ..sources.pages import coalesce_ranges, page_locations
 from .postings import SCHEMA, postings, readable, with_address
 
 #: Keys of one batch that are sent as literals; more are joined.
@@ -235,13 +236,22 @@ class Index:
         out = rows.select("key", *[F.col(f"`{c}`") for c in names], F.col("_file").alias("source_file"), F.col("_row").alias("row_number"))
         return self._project(out, opts) if not opts.columns else self._project(out, QueryOptions(columns=[*opts.columns, "key"]))
 
-    def explain(self, key: str, opts: QueryOptions | None = None) -> dict:
-        """What a lookup would touch; no data file is opened."""
+    def explain(self, key: str, opts: QueryOptions | None = None, pages: bool = False) -> dict:
+        """What a lookup would touch. No data file is opened, but with pages the footers of the key's files are, for the pages that hold its rows."""
         opts = opts or QueryOptions()
         found = self.entries([key], opts).withColumn("_keep", entry_predicate(opts))
         n, kept, rows = found.agg(F.count(F.lit(1)), F.sum(F.col("_keep").cast("long")), F.sum(F.when(F.col("_keep"), F.size("row_numbers")))).first()
         per_file = found.filter("_keep").groupBy("file_path").agg(F.max("file_size").alias("size")).orderBy("file_path").collect()
         manifests = self.store.manifests()
+        described, size, gets = [], sum(r.size or 0 for r in per_file), len(per_file)
+        if pages and not opts.covering_only:
+            size = gets = 0
+            for r in found.filter("_keep").groupBy("file_path").agg(F.flatten(F.collect_list("row_numbers")).alias("rows")).orderBy("file_path").toLocalIterator():
+                at = page_locations(self.spark, readable(r.file_path), r.rows, list(opts.columns) if opts.columns else None)
+                ranges = coalesce_ranges([(p["offset"], p["offset"] + p["size"]) for p in at])
+                described += [{"file": r.file_path, **p} for p in at]
+                size += sum(b - a for a, b in ranges)
+                gets += len(ranges)
         return {
             "key": key,
             "bucket": bucket_of(key, manifests[0]["num_buckets"]) if manifests else None,
@@ -249,9 +259,9 @@ class Index:
             "num_entries_after_predicates": kept or 0,
             "files": [r.file_path for r in per_file],
             "covering": [r.asDict() for r in self.covering(key, opts).collect()],
-            "page_descriptions": [],
-            "estimated_bytes": 0 if opts.covering_only else sum(r.size or 0 for r in per_file),
-            "estimated_range_gets": 0 if opts.covering_only else len(per_file),
+            "page_descriptions": described,
+            "estimated_bytes": 0 if opts.covering_only else size,
+            "estimated_range_gets": 0 if opts.covering_only else gets,
             "estimated_rows": rows or 0,
             "covering_only": opts.covering_only,
             "columns": list(opts.columns or []),

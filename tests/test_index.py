@@ -14,6 +14,7 @@ from lodestone.operators.sql_scope import run_sql
 from lodestone.plans.fs import Fs
 from lodestone.plans.liveness import live_entries
 from lodestone.sources import layouts
+from lodestone.sources.pages import coalesce_ranges
 from lodestone.sources.sinks import json_rows, read_v1_fragment
 
 
@@ -68,6 +69,17 @@ def test_predicates(built):
     assert (e["num_entries"], e["num_entries_after_predicates"], e["skipped_by_predicate"]) == (1, 0, 1)
 
 
+def test_pages_within_files(spark, tmp_path):
+    path = str(tmp_path / "d")
+    layouts.write_layout(layouts.sample_listens(spark, 60, 50), path, "key_pages", files=1, page_rows=100)
+    index = Index(spark, str(tmp_path / "i"))
+    index.build(path, ["user_id"])
+    e, whole = index.explain("user_0007", QueryOptions(columns=["track_uri"]), pages=True), index.explain("user_0007")
+    assert e["page_descriptions"] and {p["column"] for p in e["page_descriptions"]} == {"track_uri"}
+    assert 0 < e["estimated_bytes"] < whole["estimated_bytes"] / 4 and e["estimated_range_gets"] >= 1
+    assert coalesce_ranges([(5, 9), (0, 2), (2, 4), (20, 30)], gap=1) == [(0, 9), (20, 30)]
+
+
 def test_page_before_window(built):
     """A page may hold fewer rows than its limit, as the time window comes after it."""
     c = built.covering("user_0001").first()
