@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -36,12 +37,16 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    package = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="lodestone-code-")) / "lodestone_code.zip"  # the driver's file server hands it out
-    with zipfile.ZipFile(path, "w") as z:
+    package, code = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(code, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(path))
+    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}.zip"
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(code.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
 
 
