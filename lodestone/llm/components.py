@@ -11,7 +11,7 @@ from .common import Scratch
 def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFrame:
     """node, label for every node of links (a, b); label is one node of its component.
 
-    Each round every node takes its least neighbour or itself, twice in a row, and the links are rewritten with
+    Each round every node takes its least neighbour or itself, four times in a row, and the links are rewritten with
     what their ends took; links within one node go. Components of any shape shrink to one node in
     a number of rounds that grows with the logarithm of their size in all but contrived cases.
     """
@@ -20,7 +20,8 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("p"))
-        up = up.join(up.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
+        for _ in range(2):  # to the fourth step up
+            up = up.join(up.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
         up = scratch.write(f"{name}-p{i}", up)
         if labels is None:
             labels = up.select(F.col("u").alias("node"), F.col("p").alias("label"))

@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_poisson_mix": poisson_mix.SQL, "op3_line_spread": line_spread.SQL}
+    return {"op2_poisson_mix": poisson_mix.SQL, "op3_line_spread": line_spread.SQL, "op8_jaccard_join": jaccard_join.SQL}

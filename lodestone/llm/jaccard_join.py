@@ -10,11 +10,12 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two docum
    are one node from here on.
 3. A tile is the nodes that share a prefix shingle, cut into bands of size. In the first round each node is
    compared with one node only, the least of the tiles it is in; components of the links follow.
-4. Tiles whose nodes are in one component are done. In the others, some nodes become pivots, chosen by hash,
-   four times as many each round, and are compared with the tile's nodes of other components whose size
-   allows a link; then a pivot leaves the tile. So every pair that could link two components is compared,
-   and no group's pairs are all made.
-5. Of a pair, the bitmaps (1024 bits, a bit per shingle hash) bound the overlap from above:
+4. Tiles whose nodes are in one component are done. In the others, most nodes are of one component; the rest meet
+   them, in blocks of a bounded number of nodes of like size. A block emits no pairs but those of different components that
+   bitmaps leave: at first the most promising one for each node, then, when the components have grown by these,
+   all of them. So every pair that could link two components is compared, and the pairs of a group that is one
+   component are never made.
+5. Of a pair, the bitmaps (a bit per shingle hash; 4 bits to a shingle, 1024 at least) bound the overlap from above:
    |A and B| <= min(|A| - bits only in A, |B| - bits only in B). Pairs within reach of the threshold get the
    exact intersection of their sorted arrays (48 bits of each hash).
 
@@ -42,7 +43,10 @@ from .tokens import _unplanes, _planes, cut, mix, pack_sorted, token_blocks, unp
 WORDS = 5
 #: Links: PERCENT of the union or more.
 PERCENT = 75
-SIGNATURE = 1024
+#: Bits of a bitmap, at least and at most; more only make the bound tighter.
+SIGNATURE, WIDEST = 1024, 16384
+#: Nodes of each kind in a block, in the mean.
+BLOCK_NODES = 512
 SHARD_BYTES = 24 << 20
 #: Cells per token that shingles are counted in, at least.
 CELLS = 16
@@ -50,7 +54,7 @@ CELLS = 16
 _SETS = "doc_id long, n long, s1 long, s2 long"
 _ASK = "shard int, block long, cells binary, counts binary"
 _REPLY = "shard int, block long, codes binary"
-_CAND = "n long, s1 long, s2 long, keys array<long>, sig array<long>, elements binary"
+_CAND = "n long, s1 long, s2 long, keys array<long>, sig binary, elements binary"
 
 
 def _names(ddl: str) -> list[str]:
@@ -116,10 +120,47 @@ def _count(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": pdf["shard"].astype("int32"), "block": pdf["block"], "codes": out})
 
 
-def signature(u: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE, np.uint8)
-    bits[(u & np.uint64(SIGNATURE - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
+def signature(u: np.ndarray) -> bytes:
+    width = min(WIDEST, max(SIGNATURE, 1 << (4 * len(u) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(u & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def signatures(sigs: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of uint64, wide ones folded to the least width among them."""
+    width = min(map(len, sigs)) if sigs else 8
+    fold = lambda s: np.frombuffer(s, np.uint64) if len(s) == width else np.bitwise_or.reduce(np.frombuffer(s, np.uint64).reshape(-1, width // 8), axis=0)
+    return np.stack([fold(s) for s in sigs]) if sigs else np.zeros((0, 1), np.uint64)
+
+
+def most(n: int, sig: np.ndarray, ns: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+    """Bounds from above of the overlaps of one set with others."""
+    both = np.bitwise_count(sig & sigs).sum(axis=1, dtype=np.int64)
+    own = int(np.bitwise_count(sig).sum(dtype=np.int64))
+    return np.minimum(n - (own - both), ns - (np.bitwise_count(sigs).sum(axis=1, dtype=np.int64) - both))
+
+
+def near_pairs(block: dict, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of different components in a block, one of them asking, that the bitmaps leave; every, or the best for each that asks.
+
+    block: arrays node, n, label, asks, and sig, a list."""
+    node, n, label, asks = (block[c] for c in ("node", "n", "label", "asks"))
+    sigs = signatures(block["sig"])
+    there = np.flatnonzero(~asks)
+    a, b = [], []
+    for i in np.flatnonzero(asks):
+        to = there[(label[there] != label[i]) & (100 * np.minimum(n[there], n[i]) >= percent * np.maximum(n[there], n[i]))]
+        if not len(to):
+            continue
+        bound = most(int(n[i]), sigs[i], n[to], sigs[to])
+        left = (100 + percent) * bound >= percent * (n[to] + n[i])
+        to, bound = to[left], bound[left]
+        if len(to) and not every:
+            to = to[[int(np.lexsort((node[to], -bound / (n[to] + n[i])))[0])]]
+        a.append(np.minimum(node[to], node[i]))
+        b.append(np.maximum(node[to], node[i]))
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def pack48(u: np.ndarray) -> bytes:
@@ -149,7 +190,6 @@ class _Join:
         self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # blocks are large rows
         self.scratch = Scratch(self.spark)
         self.blocks = self.scratch.write("blocks", token_blocks(docs, id_col, text_col, ends=False))
-        self.n_links = 0
 
     def sets(self) -> DataFrame:
         words = self.words
@@ -198,7 +238,7 @@ class _Join:
                     first = np.lexsort((u, c))[:prefix]
                     keys = u[first[c[first] > 1]]
                     out.append((n, *_set_hash(u), keys.view(np.int64), signature(u), pack48(u)))
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], _names(_CAND))
 
@@ -210,27 +250,66 @@ class _Join:
     def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that link."""
         p = self.percent
-        sig = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-        only = "aggregate(zip_with({}, {}, (x, y) -> bit_count(x & ~y)), 0, (s, x) -> s + x)"
-        near = pairs.join(sig("a"), "a").join(sig("b"), "b")
-        near = near.filter(f"least(na, nb) * 100 >= {p} * greatest(na, nb)")
-        near = near.withColumn("most", F.least(F.col("na") - F.expr(only.format("sa", "sb")), F.col("nb") - F.expr(only.format("sb", "sa"))))
-        near = self.scratch.write(f"near-{self.n_links}", near.filter(f"(100 + {p}) * most >= {p} * (na + nb)").select("a", "b", "na", "nb"))
-        elements = lambda x: nodes.select(F.col("node").alias(x), F.col("elements").alias(f"e{x}"))
-        full = near.join(elements("b"), "b").join(elements("a"), "a").select("a", "b", "na", "nb", "ea", "eb")
+        side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "elements")])
+        full = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"least(n_a, n_b) * 100 >= {p} * greatest(n_a, n_b)")
 
         def exact(batches):
             for batch in batches:
-                na, nb = (batch[c].to_numpy() for c in ("na", "nb"))
-                both = np.array([overlap(unpack48(x.as_py()), unpack48(y.as_py())) for x, y in zip(batch["ea"], batch["eb"])], np.int64)
-                yield batch.select(["a", "b"]).filter(pa.array(100 * both >= p * (na + nb - both)))
-
-        out = self.scratch.write(f"links-{self.n_links}", full.mapInArrow(exact, "a long, b long"))
-        self.n_links += 1
-        return out
+                yes = []
+                for na, nb, sa, sb, ea, eb in zip(*(batch[c].to_pylist() for c in ("n_a", "n_b", "sig_a", "sig_b", "elements_a", "elements_b"))):
+                    sigs = signatures([sa, sb])
+                    near = (100 + p) * int(most(na, sigs[0], np.array([nb]), sigs[1:])[0]) >= p * (na + nb)
+                    yes.append(near and (100 + p) * overlap(unpack48(ea), unpack48(eb)) >= p * (na + nb))
+                yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+        return full.mapInArrow(exact, "a long, b long")
+
+    def blocks_of(self, rest: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Open tiles as blocks (key, band, i, j): the nodes of a band of size, and those of other components than the tile's largest, which ask.
+
+        rest: node, n, key, label, m (nodes in the tile), few (those that ask), major (the largest component)."""
+        rows = rest.join(nodes.select("node", "sig"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int"))
+        part = lambda c: F.ceil(F.col(c) / BLOCK_NODES).cast("int")
+        of = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), part(c)).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), part(c) - 1))
+        cols = ["key", "band", "i", "j", "node", "n", "label", "sig", "asks"]
+        there = rows.withColumn("j", of("m", "j")).withColumn("i", each("few")).withColumn("asks", F.lit(False))
+        asks = rows.filter("label <> major").withColumn("i", of("few", "i")).withColumn("j", each("m")).withColumn("asks", F.lit(True))
+        asks = asks.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        return there.select(*cols).unionByName(asks.select(*cols))
+
+    def candidates_in(self, blocks: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a, b) from all blocks, each pair once."""
+        percent = self.percent
+        at = ["key", "band", "i", "j"]
 
-    def links(self, cand: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Enough of the links between nodes to have their components, and the nodes (s1, s2, node)."""
+        def run(batches):
+            kept = None
+            for batch in batches:  # blocks stand one after another, but may go on in the next batch
+                kept = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+                keys = np.stack([kept[c].to_numpy(zero_copy_only=False) for c in at], axis=1)
+                edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+                yield from scan(kept, edges)
+                kept = kept.slice(int(edges[-1]))
+            if kept is not None and kept.num_rows:
+                yield from scan(kept, np.array([0, kept.num_rows]))
+
+        def scan(rows, edges):
+            cols = {c: rows[c].to_numpy(zero_copy_only=False) for c in ("node", "n", "label", "asks")}
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(edges[:-1], edges[1:]):
+                block = {c: v[x:y] for c, v in cols.items()}
+                if block["asks"].any() and not block["asks"].all():
+                    pairs = near_pairs(block | {"sig": rows["sig"].slice(int(x), int(y - x)).to_pylist()}, percent, every)
+                    a.append(pairs[0])
+                    b.append(pairs[1])
+            found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        return blocks.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "a long, b long").distinct()
+
+    def links(self, cand: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Enough of the links between nodes to have their components; the nodes (s1, s2, node); the components (node, label)."""
         s, p = self.scratch, self.percent
         names = s.write("nodes", cand.groupBy("s1", "s2").agg(F.min("rid").alias("node")))
         nodes = cand.withColumnRenamed("rid", "node")  # rows of equal sets but the least are in no pair
@@ -239,23 +318,19 @@ class _Join:
         posts = s.write("posts", posts.select(F.col("rid").alias("node"), "n", F.explode("keys").alias("key")))
         tiles = posts.groupBy("key", band.alias("band")).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         first = posts.withColumn("band", band).join(tiles, ["key", "band"]).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).filter("a <> b")
-        links = self.verified(first.select("a", "b"), nodes)
-        rest, pivots = posts, 1
-        while True:
-            labels = components(s, links, f"cc{self.n_links}")
-            rest = rest.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            rest = s.write(f"rest-{self.n_links}", rest.join(open_, "key", "left_semi"))
-            if rest.isEmpty():
-                return links, names
-            pivots *= 4
-            chosen = rest.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(pivots)).alias("salt")).agg(F.min(F.struct("node", "n", "label")).alias("x")).select("key", "x.*")
-            chosen = s.write(f"pivots-{self.n_links}", chosen)
-            other = chosen.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            pairs = rest.join(other, "key").filter(f"label <> la and least(n, na) * 100 >= {p} * greatest(n, na)")
-            pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-            links = s.write(f"all-{self.n_links}", links.unionByName(self.verified(pairs, nodes)))
-            rest = rest.join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+        links = s.write("links-0", self.verified(first.select("a", "b"), nodes))
+        labels = components(s, links, "cc0")
+        rest = posts
+        for k, every in enumerate((False, True), 1):
+            rest = rest.select("node", "n", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+            open_ = sizes.groupBy("key").agg(F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("few"), F.max_by("label", F.struct("m", "label")).alias("major")).filter("few > 0")
+            rest = s.write(f"rest-{k}", rest.join(open_, "key"))
+            pairs = s.write(f"pairs-{k}", self.candidates_in(self.blocks_of(rest, nodes), every))
+            found = self.verified(pairs, nodes)
+            links = s.write(f"links-{k}", links.unionByName(found))
+            labels = components(s, links, f"cc{k}")
+        return links, names, labels
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -263,8 +338,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     run = _Join(docs, id_col, text_col, words, percent)
     s = run.scratch
     sets = run.sets()
-    links, names = run.links(run.candidates())
-    labels = components(s, links, "all")
+    links, names, labels = run.links(run.candidates())
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     least = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
     linked = least.join(names, ["s1", "s2"]).join(labels, "node").join(ends, "node")
@@ -278,4 +352,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op8_jaccard_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")  # SQL has no such spanning part
+
+
+SQL = f"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+shingles as (select distinct doc_id, unnest(case when len(w) >= {WORDS} then [array_to_string(w[i:i + {WORDS - 1}], ' ') for i in range(1, len(w) - {WORDS - 2})]
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from words),
+sizes as (select doc_id, count(*) n from shingles group by 1),
+pairs as (select x.doc_id a, y.doc_id b, count(*) c from shingles x join shingles y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+links as (select a, b from pairs join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * c >= {PERCENT} * (p.n + q.n - c)),
+ends as (select a, b from links union all select b, a from links),
+reached(doc_id, c) as (select doc_id, doc_id from documents union select ends.b, reached.c from reached join ends on reached.doc_id = ends.a)
+select d.doc_id, coalesce(any_value(n), 0)::bigint n_shingles, min(c)::bigint component_id
+from documents d join reached using (doc_id) left join sizes using (doc_id) group by d.doc_id
+"""
