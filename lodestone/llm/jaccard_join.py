@@ -11,7 +11,8 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Two docum
 3. A tile is the nodes that share a prefix shingle, cut into bands of size. In the first round each node is
    compared with one node only, the least of the tiles it is in; components of the links follow.
 4. Tiles whose nodes are in one component are done. In the others, most nodes are of one component; the rest meet
-   them, in blocks of a bounded number of nodes of like size. A block emits no pairs but those of different components that
+   them, in blocks of a bounded number of nodes of like size. Nodes carry the least keys of their open tiles: two that
+   have one in common below a tile's key meet in that one, and are passed over here. A block emits no pairs but those of different components that
    bitmaps leave: at first the most promising one for each node, then, when the components have grown by these,
    all of them. So every pair that could link two components is compared, and the pairs of a group that is one
    component are never made.
@@ -48,6 +49,8 @@ SIGNATURE, WIDEST = 1024, 16384
 #: Nodes of each kind in a block, in the mean.
 BLOCK_NODES = 512
 SHARD_BYTES = 24 << 20
+#: Keys of open tiles that a node carries, the least ones.
+FIRST = 8
 #: Cells per token that shingles are counted in, at least.
 CELLS = 16
 
@@ -144,13 +147,19 @@ def most(n: int, sig: np.ndarray, ns: np.ndarray, sigs: np.ndarray) -> np.ndarra
 def near_pairs(block: dict, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a < b) of different components in a block, one of them asking, that the bitmaps leave; every, or the best for each that asks.
 
-    block: arrays node, n, label, asks, and sig, a list."""
+    block: arrays node, n, label, asks, first (the FIRST least keys of each node's open tiles), and sig, a list; key: the tile's.
+    Pairs that meet in a tile of a lesser key, by what first tells, are left to that one."""
     node, n, label, asks = (block[c] for c in ("node", "n", "label", "asks"))
+    first, key = block["first"], block["key"]
+    there_first = np.where(first < key, first, np.iinfo(np.int64).max)
     sigs = signatures(block["sig"])
     there = np.flatnonzero(~asks)
     a, b = [], []
     for i in np.flatnonzero(asks):
         to = there[(label[there] != label[i]) & (100 * np.minimum(n[there], n[i]) >= percent * np.maximum(n[there], n[i]))]
+        before = first[i][first[i] < key]
+        if len(before) and len(to):
+            to = to[~np.isin(there_first[to], before).any(axis=1)]
         if not len(to):
             continue
         bound = most(int(n[i]), sigs[i], n[to], sigs[to])
@@ -268,11 +277,13 @@ class _Join:
         """Open tiles as blocks (key, band, i, j): the nodes of a band of size, and those of other components than the tile's largest, which ask.
 
         rest: node, n, key, label, m (nodes in the tile), few (those that ask), major (the largest component)."""
-        rows = rest.join(nodes.select("node", "sig"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int"))
+        end = F.array_repeat(F.lit(2**63 - 1).cast("long"), FIRST)
+        first = rest.groupBy("node").agg(F.slice(F.concat(F.array_sort(F.collect_list("key")), end), 1, FIRST).alias("first"))  # no more than its prefix
+        rows = rest.join(nodes.select("node", "sig").join(first, "node"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int"))
         part = lambda c: F.ceil(F.col(c) / BLOCK_NODES).cast("int")
         of = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), part(c)).cast("int")
         each = lambda c: F.explode(F.sequence(F.lit(0), part(c) - 1))
-        cols = ["key", "band", "i", "j", "node", "n", "label", "sig", "asks"]
+        cols = ["key", "band", "i", "j", "node", "n", "label", "sig", "asks", "first"]
         there = rows.withColumn("j", of("m", "j")).withColumn("i", each("few")).withColumn("asks", F.lit(False))
         asks = rows.filter("label <> major").withColumn("i", of("few", "i")).withColumn("j", each("m")).withColumn("asks", F.lit(True))
         asks = asks.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -296,11 +307,13 @@ class _Join:
 
         def scan(rows, edges):
             cols = {c: rows[c].to_numpy(zero_copy_only=False) for c in ("node", "n", "label", "asks")}
+            cols["first"] = rows["first"].flatten().to_numpy(zero_copy_only=False).reshape(-1, FIRST)
+            keys = rows["key"].to_numpy(zero_copy_only=False)
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, y in zip(edges[:-1], edges[1:]):
                 block = {c: v[x:y] for c, v in cols.items()}
                 if block["asks"].any() and not block["asks"].all():
-                    pairs = near_pairs(block | {"sig": rows["sig"].slice(int(x), int(y - x)).to_pylist()}, percent, every)
+                    pairs = near_pairs(block | {"key": keys[x], "sig": rows["sig"].slice(int(x), int(y - x)).to_pylist()}, percent, every)
                     a.append(pairs[0])
                     b.append(pairs[1])
             found = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
