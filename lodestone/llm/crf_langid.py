@@ -268,8 +268,16 @@ def label(model: Model, texts: list[str | None], known: tuple | None = None) ->
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> list[tuple[str, str]]:
-    part = docs.select(F.substring(F.col(f"`{text_col}`"), 1, TRAIN_CHARS).alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{id_col}`").alias("id"), fold(f"`{id_col}`", FOLDS).alias("f"))
-    part = part.filter(f"f <> {HELD_OUT} and lang is not null and trim(text) <> ''")
+    """At most sample rows per language, the first by their id's hash. Rows that the hash puts far behind those are left out before any sort."""
+    h = F.xxhash64(F.col(f"`{id_col}`"))
+    part = docs.select(F.substring(F.col(f"`{text_col}`"), 1, TRAIN_CHARS).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), h.alias("h"), F.col(f"`{id_col}`").alias("id"))
+    part = part.filter((fold(f"`{id_col}`", FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
+    counts = part.groupBy("lang").count().collect()  # a row per label of the model
+    if not counts:
+        return []
+    # four times as many as are wanted come before this hash, all but surely; hashes are spread over 2^64
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, 4 * sample / r["count"]) * 2.0**64 - 2.0**63))])
+    part = part.filter((h.cast("double") <= below[F.col("lang")]) & (F.trim("text") != ""))
     w = Window.partitionBy("lang").orderBy("h", "id", "text")
     return [(r.text, r.lang) for r in part.withColumn("r", F.row_number().over(w)).filter(f"r <= {sample}").orderBy("lang", "r").select("text", "lang").collect()]
 
