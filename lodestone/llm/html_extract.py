@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import first_by_hash, ship, table
 from .html_blocks import Block, blocks
 
 PATH, WORDS, MEASURES, HIDDEN = 160, 48, 7, 24
@@ -346,7 +346,8 @@ def main_texts(net: Net, pages: list[str | None], vectors: Vectors) -> list[str]
 
 
 def sample_words(pages: DataFrame, id_col: str, html_col: str, n: int = WORD_PAGES) -> list[str]:
-    rows = pages.select(F.substring(F.col(f"`{html_col}`"), 1, 20000).alias("html"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).filter("html is not null").orderBy("h", "html").limit(n).collect()
+    part = pages.select(F.substring(F.col(f"`{html_col}`"), 1, 20000).alias("html"), F.col(f"`{id_col}`").alias("id"))
+    rows = first_by_hash(part, "id", n, pages.count(), "html").filter("html is not null").collect()
     return [w for r in rows for b in blocks(r.html) for w in b.text.split()][:50_000]
 
 
