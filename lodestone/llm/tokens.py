@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Bytes of text from which a block is closed.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Number and hash of the token that ends every text; the hash is a fixed value.
 END, END_HASH = 0, 0x9E3779B97F4A7C15
 
