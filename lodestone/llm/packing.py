@@ -9,7 +9,8 @@ bin. If there is none, a new bin opens. Bitmaps are exact: each (source, slot) a
 twice in a shard has a bit of its own.
 
 Two pieces of one duplicate cluster (equal texts, after lower-casing A-Z) never share a bin, nor do two pieces
-of one (source, slot); SLOTS slots let a bin hold up to so many pieces of one source.
+of one (source, slot); SLOTS slots let a bin hold up to so many pieces of one source. The slot is dealt by a hash
+of its own, not by the shard's, so every shard has all slots whatever the number of shards.
 
 Defined cases: a null or empty text has no tokens and no piece; a null source is a source; a null id stays
 null; repeated rows get copy numbers and conflict with each other; an empty table gives an empty result; extra
@@ -105,10 +106,11 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = rows.withColumn("start", F.col("piece").cast("long") * capacity)
     rows = rows.withColumn("n_tokens", F.least(F.lit(capacity), F.col("tokens") - F.col("start")).cast("int"))
     rows = rows.withColumn("tie", F.xxhash64("doc_id", "copy", "piece")).withColumn("shard", F.pmod("tie", F.lit(shards)))
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "source", "cluster", "copy", "piece"), F.lit(slots)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "tie", "doc_id", "copy", "piece"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-        source = _codes(pdf["source"].astype(object).where(pdf["source"].notna(), "\0"), pdf["tie"].to_numpy() % slots)
+        source = _codes(pdf["source"].astype(object).where(pdf["source"].notna(), "\0"), pdf["slot"].to_numpy())
         twice = pdf["cluster"].duplicated(keep=False).to_numpy()
         cluster = np.full(len(pdf), -1)
         if twice.any():
@@ -117,7 +119,7 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         pdf["pos"] = pdf.groupby("bin").cumcount().astype("int32")
         return pdf[["shard", "bin", "pos", "doc_id", "copy", "piece", "start", "n_tokens", "source"]]
 
-    keep = rows.select("shard", "doc_id", "copy", "piece", "start", "n_tokens", "source", "cluster", "tie")
+    keep = rows.select("shard", "doc_id", "copy", "piece", "start", "n_tokens", "source", "cluster", "tie", "slot")
     return keep.groupBy("shard").applyInPandas(pack, OUT)
 
 

@@ -218,6 +218,14 @@ def test_best_fit(spark):
     assert packing.best_fit(docs(spark, *rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shards", range(1, 9))
+def test_best_fit_reaches_all_slots_of_a_source(spark, shards):
+    rows = [(k, f"w{k}", "s") for k in range(shards * 100)]  # pieces of one token, no two alike
+    out = packing.best_fit(docs(spark, *rows), capacity=64, shard_size=100).toPandas()
+    assert out.shard.nunique() == shards and len(out) == len(rows)
+    assert (out.groupby(["shard", "bin"]).size().groupby("shard").max() == packing.SLOTS).all()
+
+
 # ---- 8
 
 
