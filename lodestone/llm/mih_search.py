@@ -18,7 +18,8 @@ large part of all codes. Measured recall and the share of rows that are reranked
 
 Defined cases: vectors null, empty, zero, holding null or non-finite components, or of another length than the most
 frequent one take no part, as queries or rows; a null id takes no part; repeated rows are rows of their own (one of the
-query's id is not its neighbour); ties go to the smaller id; with fewer than k others all are returned; an empty table gives
+query's id is not its neighbour), but each distinct (id, vector) is asked once: different vectors of one query id have a
+list each, ranked from 1; ties go to the smaller id; with fewer than k others all are returned; an empty table gives
 an empty result; extra columns are ignored.
 """
 
@@ -41,6 +42,7 @@ FIT, CALIBRATE, RECALL = 8192, 256, 0.92
 BLOCK_ROWS, CHUNK_ROWS = 32768, 2048
 
 OUT = "query_id long, rank int, vec_id long, score double"
+FOUND = "ask long, query_id long, vec_id long, score double"
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +140,7 @@ def learn_radius(x: np.ndarray, model: tuple, k: int = K, queries: int = CALIBRA
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_mod: int = QUERY_MOD, bits: int = BITS) -> DataFrame:
-    """For each vector whose id is divisible by query_mod its k nearest others: query_id, rank, vec_id, score."""
+    """For each distinct (id, vector) whose id is divisible by query_mod its k nearest others: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ship(spark)
     scratch = Scratch(spark)
@@ -150,35 +152,42 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     dim = dim["d"]
     v = scratch.write("vectors", v.filter(F.size("v") == dim))
     n = v.count()
-    sample = first_by_hash(v, "id", FIT, n, "v").toPandas()["v"]
+    h = F.xxhash64("id", "v")
+    keyed = v.select("id", "v", h.alias("h"))
+    sample = first_by_hash(keyed, "h", FIT, n, "id", "v").toPandas()["v"]
+    if len(sample) < min(FIT, n):  # few distinct rows, too few hashes to cut by; written, so the driver gets no rows of every task
+        sample = scratch.write("sample", keyed.orderBy(F.xxhash64("h"), "id", "v").limit(FIT)).toPandas()["v"]
     sample = np.stack(sample.to_list())
     bits = -(-bits // 64) * 64
     model = learn_rotation(sample, bits)
     radius = learn_radius(sample, model, k)
 
-    blocks, chunks = math.ceil(n / BLOCK_ROWS), max(1, math.ceil(n / query_mod / CHUNK_ROWS))
+    # an ask is a distinct (id, vector) with a key of its own, by which the blocks' lists are merged
+    asks = scratch.write("asks", v.filter(F.col("id") % query_mod == 0).distinct().withColumn("ask", F.monotonically_increasing_id()))
+    blocks, chunks = math.ceil(n / BLOCK_ROWS), max(1, math.ceil(asks.count() / CHUNK_ROWS))
     pair = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    rows = v.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("chunk", pair).withColumn("query", F.lit(False))
-    asks = v.filter(F.col("id") % query_mod == 0).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    rows = v.withColumn("block", F.pmod(h, F.lit(blocks)).cast("int")).withColumn("chunk", pair).withColumn("query", F.lit(False)).withColumn("ask", F.lit(-1).cast("long"))
+    asks = asks.withColumn("chunk", F.pmod(F.xxhash64("ask"), F.lit(chunks)).cast("int"))
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(True))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["v"].to_list())
         ids, is_query = pdf["id"].to_numpy(), pdf["query"].to_numpy()
-        q, qids = x[is_query], ids[is_query]
+        q, qids, keys = x[is_query], ids[is_query], pdf["ask"].to_numpy()[is_query]
         x, ids = x[~is_query], ids[~is_query]
         out = []
         if len(x) and len(q):
             index, codes = Index(encode(x, model)), encode(q, model)
             for i in range(len(q)):
                 found, score = top(index, ids, x, qids[i], q[i], codes[i], k, radius)
-                out.append((np.full(len(found), qids[i]), found, score))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame({"query_id": cols[0], "rank": np.zeros(len(cols[0]), np.int32), "vec_id": cols[1], "score": cols[2]})
+                out.append((np.full(len(found), keys[i]), np.full(len(found), qids[i]), found, score))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("ask", "query_id", "vec_id", "score"), cols)))
 
-    found = rows.select("block", "chunk", "query", "id", "v").unionByName(asks.select("block", "chunk", "query", "id", "v")).groupBy("block", "chunk").applyInPandas(search, OUT)
+    names = ("block", "chunk", "query", "ask", "id", "v")
+    found = rows.select(*names).unionByName(asks.select(*names)).groupBy("block", "chunk").applyInPandas(search, FOUND)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)  # no more than k of each block
-    best = found.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("pos", "x"))
+    best = found.groupBy("ask", "query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("pos", "x"))
     return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
 
 

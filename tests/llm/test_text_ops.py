@@ -278,3 +278,19 @@ def test_odd_vectors(spark):
     assert mih_search.nearest(v.limit(0)).count() == 0
     ties = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(60)], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in mih_search.nearest(ties).filter("query_id = 40").orderBy("rank").collect()] == list(range(20))
+
+
+def test_repeated_query_ids(spark):
+    rows = [(k, [1.0, 2.0]) for k in range(60)] + [(20, [1.0, 2.0])] * 24 + [(40, [-1.0, -2.0])]
+    out = mih_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted((r.query_id, r.score, r["rank"], r.vec_id) for r in out.collect())
+    want = [(0, 5.0, k, k) for k in range(1, 21)]
+    want += [(q, s, k + 1, k) for q, s in ((20, 5.0), (40, -5.0), (40, 5.0)) for k in range(20)]
+    assert got == want
+
+
+def test_sample_of_few_distinct_rows(spark, monkeypatch):
+    monkeypatch.setattr(mih_search, "FIT", 8)
+    for i in range(1, 9):  # whatever side of the cut an id's hash is on
+        v = spark.createDataFrame([(i, [1.0, 2.0])] * 300 + [(20, [2.0, 1.0])], "vec_id long, embedding array<float>")
+        assert [(r.query_id, r.vec_id, r.score) for r in mih_search.nearest(v).collect()] == [(20, i, 4.0)] * 20
