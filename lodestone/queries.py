@@ -198,6 +198,12 @@ def verify_files(spark, sf_dir):
     return _events(spark, sf_dir).verify().filter("status = 'ok'").select(F.lit("events").alias("name"), "status").distinct()
 
 
+def verify_rows(spark, sf_dir):
+    """A row per indexed file, whatever its status; a file under the table's folder counts by the table's name."""
+    name = F.regexp_extract(F.regexp_replace("file_path", r"[.]parquet/[^/]*$", ".parquet"), r"([^/]*)[.]parquet$", 1)
+    return _events(spark, sf_dir).verify().select(name.alias("name"), "status")
+
+
 def full_scan(spark, sf_dir):
     return _plain_events(naive_scan(spark, f"{sf_dir}/events.parquet", ["user_id"], "13"))
 
@@ -244,6 +250,12 @@ def secondary_rows(spark, sf_dir):
     return _plain_events(s.rows(s.lookup_exact("error").filter("key in ('13', '14')")).filter("event_type = 'error'"))
 
 
+def secondary_rows_all(spark, sf_dir):
+    """All rows of a value, of every key."""
+    s = _secondary(spark, sf_dir)
+    return _plain_events(s.rows(s.lookup_exact("error")))
+
+
 def secondary_lineitem(spark, sf_dir):
     return _refs(secondary_postings(_t(spark, sf_dir, "lineitem"), "l_returnflag", ["l_suppkey"]))
 
@@ -371,8 +383,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         key_bucket, key_text_timestamp, postings_by_key, compound_key_index, timestamp_key_index, covering_flat, covering_orders, cogroup_sizes, blob_expand,
         index_build, point_lookup, point_lookup_projection, point_lookup_time_window, point_lookup_missing, paginate, paginate_then_window, multi_key_lookup, multi_key_join, multi_key_paged,
-        covering_only, min_count_entries, explain_counts, index_stats, verify_files, full_scan, compound_lookup, json_sink,
-        secondary_exact, secondary_range, secondary_prefix, secondary_rows, secondary_lineitem,
+        covering_only, min_count_entries, explain_counts, index_stats, verify_files, verify_rows, full_scan, compound_lookup, json_sink,
+        secondary_exact, secondary_range, secondary_prefix, secondary_rows, secondary_rows_all, secondary_lineitem,
         equality_delete, position_delete, dropped_and_superseded, tombstones_and_forgotten, compact_last_wins, forget_and_compact, duplicate_fragments, snapshot_files_diff, snapshot_index, stream_index,
         sql_key_lookup, sql_no_key,
     ]
@@ -412,6 +424,7 @@ def oracle_sql() -> dict[str, str]:
         "explain_counts": f"select '13' as key, {bucket.format(chr(39) + '13' + chr(39), 16)} bucket, 1::bigint entries, count(*)::bigint n_rows from events where user_id = 13",
         "index_stats": "select count(distinct user_id)::bigint num_keys, count(distinct user_id)::bigint num_entries from events",
         "verify_files": "select 'events' as name, 'ok' as status",
+        "verify_rows": "select 'events' as name, 'ok' as status",
         "full_scan": f"select {_EVENT_SQL} from events where user_id = 13",
         "compound_lookup": "select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_orderkey = 7 and l_linenumber = 1",
         "json_sink": "select event_id, event_type from events where user_id = 13",
@@ -419,6 +432,7 @@ def oracle_sql() -> dict[str, str]:
         "secondary_range": "select event_type dim, user_id::varchar as key, count(*)::bigint value_count from events where event_type between 'c' and 'p' group by 1, 2",
         "secondary_prefix": "select event_type dim, user_id::varchar as key, count(*)::bigint value_count from events where starts_with(event_type, 'p') group by 1, 2",
         "secondary_rows": f"select {_EVENT_SQL} from events where event_type = 'error' and user_id in (13, 14)",
+        "secondary_rows_all": f"select {_EVENT_SQL} from events where event_type = 'error'",
         "secondary_lineitem": "select l_returnflag dim, l_suppkey::varchar as key, count(*)::bigint value_count from lineitem group by 1, 2",
         "equality_delete": "select event_id from events e where not exists (select 1 from events d where d.event_id % 10 = 0 and d.user_id is not distinct from e.user_id and d.event_type is not distinct from e.event_type)",
         "position_delete": "select event_id from events where event_id % 7 <> 0",

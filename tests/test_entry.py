@@ -30,3 +30,17 @@ def test_query_equals_sql(spark, db, name):
     got, want = core.queries()[name](spark, SF).toPandas(), db.sql(core.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_verify_rows_shows_stale_files(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    query = core.queries()["verify_rows"]
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == [("events", "ok")] * 3
+    next((tmp_path / "events.parquet").glob("part-*")).unlink()
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == [("events", "ok")] * 2 + [("events", "stale")]
+
+
+def test_secondary_rows_of_every_key(spark, db):
+    got = core.queries()["secondary_rows_all"](spark, SF).toPandas()
+    assert got.user_id.nunique() == db.sql("select count(distinct user_id) from events where event_type = 'error'").limit(1).fetchall()[0][0] > 2
