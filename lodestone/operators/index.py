@@ -6,8 +6,9 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import RemoteStaleFile, StaleFile
 from ..functions import covering as cov
@@ -73,6 +74,43 @@ def time_window(ms: Column, opts: QueryOptions) -> Column:
     return keep
 
 
+def layout_of(schema: T.StructType, time_column: str | None) -> str:
+    """flat, nested (a list of structs `listens`) or blob (JSON in `payload`); a table with the time column at top level is flat."""
+    if time_column in schema.names:
+        return "flat"
+    if "payload" in schema.names and "track_uri" not in schema.names:
+        return "blob"
+    kind = schema["listens"].dataType if "listens" in schema.names else None
+    return "nested" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else "flat"
+
+
+def expand_items(rows: DataFrame, schema: T.StructType, time_column: str | None) -> tuple[DataFrame, list[str], Column | None]:
+    """rows (the columns of schema and others) with a row per item of a nested or blob layout, its place as _item; the data columns; and the time in ms, if there is one.
+
+    An item's fields stand for the list; a top-level column of a field's name wins. A null or empty list has no items. A payload
+    without such a list stays a row with its payload, as covering values count it; those of expanded rows are null."""
+    layout = layout_of(schema, time_column)
+    if layout == "flat":
+        ms = millis(time_column, schema[time_column].dataType) if time_column in schema.names else None
+        return rows.withColumn("_item", F.lit(0)), schema.names, ms
+    if layout == "nested":
+        item = schema["listens"].dataType.elementType
+        rows, own = rows.select("*", F.posexplode("listens").alias("_item", "_x")), [c for c in schema.names if c != "listens"]
+        values = {c: F.col("_x")[c] for c in item.names}
+        ms = millis(F.col("_x")[time_column], item[time_column].dataType) if time_column in item.names else None
+    else:
+        rows, own = rows.withColumn("_list", cov.blob_items(F.col("payload"))), schema.names
+        payloads = [c for c in own if c in ("payload", "payload_bytes")]
+        rows = rows.select("*", F.posexplode(F.coalesce("_list", F.array(F.lit(None)))).alias("_item", "_x"))
+        rows = rows.withColumns({c: F.when(F.col("_list").isNull(), F.col(c)) for c in payloads})
+        x = F.col("_x")
+        values = {"timestamp_ms": F.coalesce(x["timestamp_ms"], x["timestamp"]), "track_uri": x["track_uri"], "duration_ms": x["duration_ms"]}
+        ms = values["timestamp_ms"]
+    fields = [c for c in values if c not in own]
+    rows = rows.withColumns({"_ms": ms if ms is not None else F.lit(None).cast("long"), **{c: values[c] for c in fields}})
+    return rows.drop("_x", "_list"), own + fields, F.col("_ms") if ms is not None else None
+
+
 class Index:
     """An index at root over Parquet data. key_columns and the time column come from its fragments."""
 
@@ -128,7 +166,8 @@ class Index:
     def _empty(self, opts: QueryOptions) -> DataFrame:
         """No rows, in the table's own schema if a file of it can still be read."""
         schema = self.table_schema()
-        return self._project(self.spark.createDataFrame([], schema).withColumn("source_file", F.lit("")).withColumn("row_number", F.lit(0).cast("long")), opts)
+        rows, names, _ = expand_items(self.spark.createDataFrame([], schema), schema, self.time_column)
+        return self._project(rows.select(*[F.col(f"`{c}`") for c in names]).withColumn("source_file", F.lit("")).withColumn("row_number", F.lit(0).cast("long")), opts)
 
     def table_schema(self):
         f = self.store.files().filter("role = 'live'").select("file_path").limit(1).collect()
@@ -152,7 +191,9 @@ class Index:
                 raise error("an indexed file is missing or has changed", path=r.file_path, stored=stored, live=None if live is None else {"etag": None, "size": live[0], "mtime_ms": live[1]})
 
     def lookup(self, key: str, opts: QueryOptions | None = None, **kw) -> QueryResult:
-        """The rows of one key. Order: entry predicates, covering, identity check, pages, read, time window, limit."""
+        """The rows of one key. Order: entry predicates, covering, identity check, pages, read, items, time window, limit.
+
+        Nested and blob layouts give a row per item: pages count physical rows, the limit then cuts items."""
         opts = opts or QueryOptions(**kw)
         begun = time.perf_counter()
         marks = {}
@@ -192,20 +233,20 @@ class Index:
             totals["files_touched"] = len(files)
         finally:
             found.unpersist()
-        order = [F.col("_file"), F.col("_row")]
-        if self.time_column in data.columns:
-            ms = millis(self.time_column, data.schema[self.time_column].dataType)
+        rows, names, ms = expand_items(rows, data.schema, self.time_column)
+        order = [F.col("_file"), F.col("_row"), F.col("_item")]
+        if ms is not None:
             rows = rows.filter(time_window(ms, opts))
             order = [F.coalesce(ms, F.lit(0)), *order]
         rows = rows.orderBy(*order)
         if opts.limit is not None:
             rows = rows.limit(opts.limit)
-        rows = rows.select(*[F.col(f"`{c}`") for c in data.columns], F.col("_file").alias("source_file"), F.col("_row").alias("row_number"))
+        rows = rows.select(*[F.col(f"`{c}`") for c in names], F.col("_file").alias("source_file"), F.col("_row").alias("row_number"))
         mark("plan_ms")
         return QueryResult(key, self._project(rows, opts), covering, {"timings": marks, "totals": totals})
 
     def lookup_many(self, keys: Sequence[str] | DataFrame, opts: QueryOptions | None = None) -> DataFrame:
-        """The rows of many keys in one job, with `key`, source_file and row_number; each key paged on its own.
+        """The rows of many keys in one job, with `key`, source_file and row_number; each key paged on its own, items as in lookup().
 
         keys: a list, or a DataFrame with a column `key`, which is joined and never collected."""
         opts = opts or QueryOptions()
@@ -221,8 +262,6 @@ class Index:
             self.check_fresh(entries)
         at = entries.select("key", "seq", F.col("file_path").alias("_file"), F.posexplode("row_numbers").alias("_pos", "_row"))
         if opts.offset or opts.limit is not None:
-            from pyspark.sql import Window
-
             at = at.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("seq", "_file", "_pos"))).filter(F.col("_n") > opts.offset)
             at = at.filter(F.col("_n") <= opts.offset + opts.limit) if opts.limit is not None else at
         files = [readable(r[0]) for r in entries.select("file_path").distinct().toLocalIterator()]
@@ -230,9 +269,13 @@ class Index:
             return self._empty(opts).withColumn("key", F.lit(""))
         data = self.spark.read.parquet(*files)
         rows = with_address(data).drop("_size", "_mtime").join(at.select("key", "_file", "_row"), ["_file", "_row"])
-        if self.time_column in data.columns:
-            rows = rows.filter(time_window(millis(self.time_column, data.schema[self.time_column].dataType), opts))
-        names = [c for c in data.columns if c != "key"]
+        rows, names, ms = expand_items(rows, data.schema, self.time_column)
+        if ms is not None:
+            rows = rows.filter(time_window(ms, opts))
+        if opts.limit is not None and layout_of(data.schema, self.time_column) != "flat":
+            by = [F.coalesce(ms, F.lit(0))] if ms is not None else []
+            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(*by, "_file", "_row", "_item"))).filter(F.col("_n") <= opts.limit)
+        names = [c for c in names if c != "key"]
         out = rows.select("key", *[F.col(f"`{c}`") for c in names], F.col("_file").alias("source_file"), F.col("_row").alias("row_number"))
         return self._project(out, opts) if not opts.columns else self._project(out, QueryOptions(columns=[*opts.columns, "key"]))
 
@@ -331,8 +374,9 @@ class Index:
         return out.select("file_path", "fragment_id", status.alias("status"))
 
 
-def naive_scan(spark: SparkSession, paths: Sequence[str] | str, key_columns: Sequence[str], key: str, order: str | None = None) -> DataFrame:
-    """The rows of a key by a scan of all files: what a lookup must equal."""
+def naive_scan(spark: SparkSession, paths: Sequence[str] | str, key_columns: Sequence[str], key: str, order: str | None = None, time_column: str | None = "timestamp") -> DataFrame:
+    """The rows of a key by a scan of all files, items of nested and blob layouts as rows: what a lookup must equal."""
     data = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    rows = data.filter(key_expr(data.schema, key_columns) == F.lit(key))
+    rows, names, _ = expand_items(data.filter(key_expr(data.schema, key_columns) == F.lit(key)), data.schema, time_column)
+    rows = rows.select(*[F.col(f"`{c}`") for c in names])
     return rows.orderBy(order) if order else rows

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SqlScopeError
 from ..functions.keys import key_expr
-from .index import Index, QueryOptions
+from .index import Index, QueryOptions, expand_items
 from .postings import readable
 
 _SCOPE = "SQL runs over the rows of looked-up keys: it may name only `hits` and key_lookup('key')"
@@ -47,8 +47,10 @@ def run_sql(index: Index, sql: str, key: str | None = None, opts: QueryOptions |
         m = F.col("_metadata")
         rows = data.select("*", key_expr(data.schema, keys).alias("_key"), m["file_path"].alias("_file"), m["row_index"].alias("_row"))
         live = inner.entries().select("key", "file_path", F.explode("row_numbers").alias("row"))
-        rows.join(live, (F.col("_key") == F.col("key")) & (F.col("_file") == F.col("file_path")) & (F.col("_row") == F.col("row")), "left_semi").drop("_row", "_file").createOrReplaceTempView(hidden)
-        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema)
-        cols = ", ".join(f"`{c}`" for c in data.columns)
+        rows.join(live, (F.col("_key") == F.col("key")) & (F.col("_file") == F.col("file_path")) & (F.col("_row") == F.col("row")), "left_semi")
+        rows, cols, _ = expand_items(rows.drop("_row", "_file"), data.schema, inner.time_column)  # as hits
+        rows.createOrReplaceTempView(hidden)
+        names = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in cols)
+        cols = ", ".join(f"`{c}`" for c in cols)
         session.sql(f"CREATE TEMPORARY FUNCTION key_lookup(k STRING) RETURNS TABLE({names}) RETURN SELECT {cols} FROM {hidden} WHERE _key = k")
     return session.sql(sql)

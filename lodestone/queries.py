@@ -115,6 +115,18 @@ def _layout_covering(layout: str, shape: str):
     return query
 
 
+def _layout_lookup(layout: str, shape: str, time: str):
+    """A key's items within a window, of which the limit keeps the first."""
+
+    def query(spark, sf_dir):
+        index = _new(spark, "timestamp")
+        index.build(_layout(spark, sf_dir, layout), ["user_id"], covering=cov.Covering("timestamp", "duration_ms", shape))
+        rows = index.lookup("13", since_ms=_T0, until_ms=_T1, limit=5).rows
+        return rows.select(millis(time, rows.schema[time].dataType).alias("ts_ms"), "track_uri", "duration_ms")
+
+    return query
+
+
 def cogroup_sizes(spark, sf_dir):
     ev = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     return layouts.cogrouped(ev, "user_id", "ts").select("user_id", F.size("listens").cast("long").alias("n"), F.element_at("listens.event_id", 1).alias("first_event"))
@@ -390,6 +402,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"layout_{n}": _layout_covering(n, s) for n, s in (("unsorted", "flat"), ("sorted", "flat"), ("key_pages", "flat"), ("cogrouped", "nested"), ("blob", "blob"))}
+    out |= {f"lookup_{n}": _layout_lookup(n, s, t) for n, s, t in (("cogrouped", "nested", "timestamp"), ("blob", "blob", "timestamp_ms"))}
     return out | {k: _sql(v) for k, v in _SQLS.items()}
 
 
@@ -447,5 +460,7 @@ def oracle_sql() -> dict[str, str]:
         "sql_key_lookup": "select event_type, count(*)::bigint n from events where user_id = 14 and event_type in (select event_type from events where user_id = 13) group by 1",
         "sql_no_key": "select 0::bigint n",
     }
+    items = f"select epoch_us(ts) // 1000 ts_ms, event_type track_uri, floor(value * 100)::bigint duration_ms from events where user_id = 13 and ts_ms between {_T0} and {_T1} order by 1, 2, 3 limit 5"
+    out |= {"lookup_cogrouped": items, "lookup_blob": items}
     out |= {f"layout_{n}": layout for n in ("unsorted", "sorted", "key_pages", "cogrouped", "blob")}
     return out | {k: f"with {hits}, {v[5:]}" if v.startswith("with ") else f"with {hits} {v}" for k, v in _SQLS.items()}

@@ -56,7 +56,7 @@ def stress(index: Index, keys: int = 20, workers: int = 4, verify_every: int = 5
         t = time.perf_counter()
         n = index.lookup(names[i]).rows.count()
         took = time.perf_counter() - t
-        return took, verify_every <= 0 or i % verify_every or n == naive_scan(index.spark, files, columns, names[i]).count()
+        return took, verify_every <= 0 or i % verify_every or n == naive_scan(index.spark, files, columns, names[i], time_column=index.time_column).count()
 
     order = list(range(len(names)))
     random.Random(seed).shuffle(order)

@@ -242,3 +242,40 @@ def test_empty_and_odd_inputs(spark, tmp_path):
     assert index.entries().count() == 0
     with pytest.raises(ValueError):
         index.build(str(tmp_path / "e"), ["user_id"], buckets=0)
+
+
+@pytest.mark.parametrize("layout, time", [("cogrouped", "timestamp"), ("blob", "timestamp_ms")])
+def test_lookup_expands_items(spark, tmp_path, layout, time):
+    flat = layouts.sample_listens(spark)
+    layouts.write_layout(flat, str(tmp_path / "data"), layout)
+    index = Index(spark, str(tmp_path / "index"))
+    index.build(str(tmp_path / "data"), ["user_id"], covering=True)
+    listens = flat.selectExpr("user_id", "unix_millis(cast(timestamp as timestamp)) as ms", "track_uri", "duration_ms").collect()
+    want = {u: sorted(tuple(r)[1:] for r in listens if r.user_id == u) for u in ("user_0001", "user_0002")}
+
+    def items(rows):
+        when = F.col(time) if time == "timestamp_ms" else F.unix_millis(F.col(time).cast("timestamp"))
+        return [tuple(r) for r in rows.select(when, "track_uri", "duration_ms").collect()]
+
+    all_ = want["user_0001"]
+    assert items(index.lookup("user_0001").rows) == all_
+    window = {"since_ms": all_[1][0], "until_ms": all_[4][0]}
+    assert items(index.lookup("user_0001", **window).rows) == all_[1:5]
+    assert items(index.lookup("user_0001", limit=3, **window).rows) == all_[1:4]
+    assert items(index.lookup("user_0001", offset=1).rows) == []  # pages count physical rows
+    many = index.lookup_many(list(want), QueryOptions(limit=3))
+    for u, rows in want.items():
+        assert sorted(items(many.filter(F.col("key") == u))) == rows[:3]
+    assert sorted(items(index.lookup_many(["user_0001"], QueryOptions(**window)))) == all_[1:5]
+    assert index.lookup("none").rows.columns == index.lookup("user_0001").rows.columns
+    n = run_sql(index, "select (select count(*) from hits) a, (select count(*) from key_lookup('user_0002')) b", "user_0001").first()
+    assert tuple(n) == (6, 6)
+
+
+def test_payload_without_items_stays(spark, tmp_path):
+    rows = [("a", "no json"), ("a", '{"listens":[{"timestamp_ms":5,"track_uri":"t","duration_ms":3},{"timestamp":9}]}'), ("a", '{"listens":[]}')]
+    spark.createDataFrame(rows, "user_id string, payload string").coalesce(1).write.parquet(str(tmp_path / "data"))
+    index = Index(spark, str(tmp_path / "index"))
+    index.build(str(tmp_path / "data"), ["user_id"], covering=True)
+    out = index.lookup("a").rows.select("payload", "timestamp_ms", "track_uri", "duration_ms").collect()
+    assert [tuple(r) for r in out] == [("no json", None, None, None), (None, 5, "t", 3), (None, 9, None, None)]
