@@ -4,7 +4,7 @@ Words (runs of anything but white space) are the chain; labels are the languages
 features are its affixes, character n-grams, itself, and per language whether it is among that language's most
 frequent training words; transitions between labels are learned too. Training maximises the likelihood by
 forward-backward and Adagrad on a bounded sample: SAMPLE rows per language, the first in order of their id's
-hash, TRAIN_CHARS characters of each; of these, runs of words of different languages are joined to chains, so that the transitions know
+hash, TRAIN_CHARS characters of each from its first word on; of these, runs of words of different languages are joined to chains, so that the transitions know
 code-switched text. Prediction runs forward-backward over every whole text and labels each word by its marginal. A
 document's language has the largest sum of marginals over words with a letter; its score is their mean.
 
@@ -18,6 +18,7 @@ row each; equal sums go to the language that sorts first; an empty table gives a
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ CHAIN, MAX_CHAINS, EPOCHS = 24, 6000, 3
 SPACE_BITS, LEXICON = 16, 400
 SPACE = 1 << SPACE_BITS
 UNDETERMINED = "und"
+#: What str.split() takes for white space.
+BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: Cells of a padded batch of chains, and words whose scores are kept at a time.
 CELLS, KEPT_WORDS = 1 << 20, 400_000
 
@@ -268,18 +271,26 @@ def label(model: Model, texts: list[str | None], known: tuple | None = None) ->
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int) -> list[tuple[str, str]]:
-    """At most sample rows per language, the first by their id's hash. Rows that the hash puts far behind those are left out before any sort."""
+    """The first sample rows with a word per language, by their id's hash. Rows that the hash puts far behind those are left out before any sort."""
     h = F.xxhash64(F.col(f"`{id_col}`"))
-    part = docs.select(F.substring(F.col(f"`{text_col}`"), 1, TRAIN_CHARS).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), h.alias("h"), F.col(f"`{id_col}`").alias("id"))
-    part = part.filter((fold(f"`{id_col}`", FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
-    counts = part.groupBy("lang").count().collect()  # a row per label of the model
+    part = docs.select(F.substring(F.ltrim(F.col(f"`{text_col}`").cast("string"), F.lit(BLANK)), 1, TRAIN_CHARS).alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"), h.alias("h"), F.col(f"`{id_col}`").alias("id"))
+    part = part.filter((fold(f"`{id_col}`", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & (F.col("text") != ""))
+    counts = {r["lang"]: r["count"] for r in part.groupBy("lang").count().collect()}  # a row per label of the model
     if not counts:
         return []
+
+    def first(rows: DataFrame) -> list:
+        w = Window.partitionBy("lang").orderBy("h", "id", "text")
+        return rows.withColumn("r", F.row_number().over(w)).filter(f"r <= {sample}").select("text", "lang", "r").collect()
+
     # four times as many as are wanted come before this hash, all but surely; hashes are spread over 2^64
-    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], float(min(1.0, 4 * sample / r["count"]) * 2.0**64 - 2.0**63))])
-    part = part.filter((h.cast("double") <= below[F.col("lang")]) & (F.trim("text") != ""))
-    w = Window.partitionBy("lang").orderBy("h", "id", "text")
-    return [(r.text, r.lang) for r in part.withColumn("r", F.row_number().over(w)).filter(f"r <= {sample}").orderBy("lang", "r").select("text", "lang").collect()]
+    below = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(min(1.0, 4 * sample / n) * 2.0**64 - 2.0**63))])
+    got = first(part.filter(F.col("h").cast("double") <= below[F.col("lang")]))
+    found = Counter(r.lang for r in got)
+    short = [k for k, n in counts.items() if found[k] < min(sample, n)]
+    if short:  # few ids share the label's rows, so their hashes are not spread: all its rows are compared
+        got = [r for r in got if r.lang not in short] + first(part.filter(F.col("lang").isin(short)))
+    return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.lang, r.r))]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:

@@ -5,6 +5,7 @@ import html
 import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -241,6 +242,16 @@ def test_radius_search_is_exact():
             assert index.within(codes[q], radius).tolist() == np.flatnonzero(d <= radius).tolist()
 
 
+def test_training_rows_of_sparse_labels(spark):
+    rows = [(i, "" if i % 10 else f"word{i}", "aa") for i in range(500)]  # mostly empty
+    learned = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % crf_langid.FOLDS != crf_langid.HELD_OUT]
+    rows += [(i, f"w{k}", f"few{i}") for i in learned[:8] for k in range(100)]  # one id has all rows of a label
+    rows += [(learned[0], " \n" * 3000 + "late", "zz")]
+    got = crf_langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 20)
+    assert Counter(k for _, k in got) == Counter({"aa": 20, **{f"few{i}": 20 for i in learned[:8]}, "zz": 1})
+    assert all(t.strip() for t, _ in got) and got[-1] == ("late", "zz")
+
+
 def brute_nearest(rows, k=20):
     ok = {i: np.array(v, float) for i, v in rows}
     out = {}
