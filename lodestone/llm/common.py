@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
+import math
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, as in tests, a folder of our own."""
+    """The folder in spark.checkpoint.dir; only on a local master, as in tests, a folder of our own where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -66,8 +72,9 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.root}/{name}")
 
     def _delete(self, path: str) -> None:
         try:
@@ -89,15 +96,55 @@ def first_by_hash(df: DataFrame, id_col: str, n: int, of: int, *ties: str) -> Da
 
     Hashes are spread over 2^64, so all but surely four times n rows have one under 4 n / of of that range: only those are sorted,
     and the driver gets no n rows from every task."""
-    h = F.xxhash64(F.col(f"`{id_col}`"))
+    return likely_first(df, id_col, n, of).orderBy(F.xxhash64(F.col(f"`{id_col}`")), id_col, *ties).limit(n)
+
+
+def likely_first(df: DataFrame, id_col: str, n: int, of: int) -> DataFrame:
+    """The rows of df among which first_by_hash looks for its n."""
     below = min(1.0, 4 * n / max(1, of)) * 2.0**64 - 2.0**63
-    return df.filter(h.cast("double") <= below).orderBy(h, id_col, *ties).limit(n)
+    return df.filter(F.xxhash64(F.col(f"`{id_col}`")).cast("double") <= below)
 
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions_for(spark: SparkSession, size: int, each: int = 32 << 20) -> int:
+    """Partitions of about `each` bytes, and no fewer than the session's."""
+    return partitions(spark, math.ceil(size / each))
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """What Spark takes the size of df to be: of files, their bytes; nothing is read. 0 where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: int):
+    """Arrow batches of about size bytes for the jobs that run within; then the session's setting is as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def slices(batch, column: int, size: int = 8 << 20):
+    """An Arrow batch in runs of rows whose text in column is of about size bytes, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pack(df: DataFrame, name: str = "_row") -> DataFrame:
     """All columns in one struct, so that columns an operator adds can't clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))

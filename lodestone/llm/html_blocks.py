@@ -1,7 +1,7 @@
 """HTML as a sequence of leaf blocks: the text between block boundaries, each with its tag path.
 
 A tolerant reader: end tags may be missing (p, li, td and the like close as the standard says), a page may break off
-anywhere, and what looks like a tag but isn't is text. Comments, declarations, scripts, styles and templates have no text.
+anywhere, and what looks like a tag but isn't is text. In a tag, a quote opens a value only after the equals sign of an attribute. Comments, declarations, scripts, styles and templates have no text.
 Character references are decoded, white space (br included) becomes one space.
 """
 
@@ -12,6 +12,7 @@ import re
 from typing import NamedTuple
 
 # Element names by their role in the standard (fixed values).
+NAMING = frozenset("class id role".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style template noscript iframe svg textarea select".split())
@@ -19,9 +20,11 @@ CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td
 CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
 SCOPE = frozenset("ul ol dl table body html article section div main aside".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(>|\Z)""", re.S)
+# An attribute's value: in quotes, unless the quote is never closed; else up to a blank or the tag's end.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|["'](?=[^>]*+>))?+"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|{_VALUE})*+)(>|\Z)""", re.S)
 _END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTR = re.compile(r"""(?:^|[\s/"'])([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
@@ -34,7 +37,7 @@ class Block(NamedTuple):
 def _name(tag: str, attrs: str) -> str:
     if not attrs or "=" not in attrs:
         return tag
-    words = " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs))
+    words = " ".join(a or b or c for name, a, b, c in _ATTR.findall(attrs) if name.lower() in NAMING)
     return f"{tag} {words.lower()}" if words else tag
 
 

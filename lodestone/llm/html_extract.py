@@ -6,7 +6,7 @@ sequence and labels every block as main text or not. Main blocks are joined by o
 
 Pages carry no labels, so the labeller is trained, on the driver, on pages that this module writes itself (PAGES of them, of
 many layouts, with labels known by construction); their words come from a bounded sample of the given pages (WORD_PAGES, the
-first in order of their id's hash). The model has a fixed size and is sent to all tasks.
+first in order of their id's hash; PAGE_RUNS runs of RUN_WORDS words from random places of each whole page). The model has a fixed size and is sent to all tasks.
 
 Defined cases: a null page or one without blocks has the empty text; tags that break off are dropped, with what is not a
 tag kept as text; repeated rows and null ids get a row each; an empty table gives an empty result; extra columns are ignored.
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_by_hash, ship, table
+from .common import likely_first, ship, slices, table
 from .html_blocks import Block, blocks
 
 PATH, WORDS, MEASURES, HIDDEN = 160, 48, 7, 24
 PAGES, WORD_PAGES, EPOCHS = 700, 100, 7
+#: Runs of words that the sample takes from a page, of how many words, at random places of the whole page.
+PAGE_RUNS, RUN_WORDS = 20, 25
 DEPTH = 10
 CELLS = 1 << 13
 
@@ -346,24 +348,34 @@ def main_texts(net: Net, pages: list[str | None], vectors: Vectors) -> list[str]
 
 
 def sample_words(pages: DataFrame, id_col: str, html_col: str, n: int = WORD_PAGES) -> list[str]:
-    part = pages.select(F.substring(F.col(f"`{html_col}`"), 1, 20000).alias("html"), F.col(f"`{id_col}`").alias("id"))
-    rows = first_by_hash(part, "id", n, pages.count(), "html").filter("html is not null").collect()
-    return [w for r in rows for b in blocks(r.html) for w in b.text.split()][:50_000]
+    """Words of n pages, the first by a hash of id and page; long pages give no more than short ones, and all that is collected is
+    n * PAGE_RUNS * RUN_WORDS words."""
+    id_, page = F.col(f"`{id_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
+    part = pages.select(page.alias("html"), F.xxhash64(id_, page).alias("h")).filter("html is not null")
+
+    def run(batches):
+        for batch in batches:
+            for page, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, r = [w for b in blocks(page) for w in b.text.split()], random.Random(h)
+                if len(words) > PAGE_RUNS * RUN_WORDS:
+                    words = [w for a in sorted(r.randrange(len(words) - RUN_WORDS + 1) for _ in range(PAGE_RUNS)) for w in words[a : a + RUN_WORDS]]
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([words], pa.list_(pa.string()))], ["h", "words"])
+
+    words = likely_first(part, "h", n, part.count()).mapInArrow(run, "h long, words array<string>")
+    return [w for r in words.orderBy(F.xxhash64("h"), "h").limit(n).collect() for w in r.words]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     net = spark.sparkContext.broadcast(train(sample_words(pages, id_col, html_col)))
     names = [f.split()[0] for f in OUT.split(", ")]
 
     def run(batches):
         vectors = Vectors()
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in slices(batch, 2, 4 << 20):
                 texts = main_texts(net.value, part.column(2).to_pylist(), vectors)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 

@@ -55,12 +55,11 @@ def remove_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = out.join(drops, F.col(f"_row.`{id_col}`").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left")
     text = F.col(f"_row.`{text_col}`")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    return unpack(out, {text_col: F.when(F.col("_drop").isNull(), text).otherwise(kept)}, {"n_removed": F.coalesce(F.size("_drop"), F.lit(0)).cast("int")})
+    return unpack(out, {text_col: F.when(F.col("_drop").isNull(), text).otherwise(kept)}, {"n_removed": F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).cast("int")})
 
 
 def op3_line_spread(spark, sf_dir):
-    out = remove_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
+    return remove_spread_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
 
 
 SQL = f"""

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, partitions, table
-from .tokens import END, cut, mix, pack_numbers, pack_sorted, token_blocks, unpack_numbers, unpack_sorted
+from .common import Scratch, batch_bytes, fold, partitions, partitions_for, table
+from .tokens import END, mix, pack_numbers, pack_sorted, runs, token_blocks, unpack_numbers, unpack_sorted
 
 FOLDS, HELD_OUT = 10, 0
 #: The fold among the training documents on which the weights are learned.
@@ -81,11 +81,8 @@ def _asks(blocks: DataFrame, shards: int) -> DataFrame:
                 for level, keys, at in ((1, k1, p1[t]), (2, k2, p2)):
                     total = np.bincount(at[train], minlength=len(keys))
                     out_held = np.bincount(at[held], minlength=len(keys))
-                    edges = cut(keys, shards)
-                    for s in range(shards):
-                        a, b = edges[s], edges[s + 1]
-                        if a < b:
-                            out.append((level, s, row["block"][0].as_py(), pack_sorted(keys[a:b]), pack_numbers(total[a:b]), pack_numbers(out_held[a:b])))
+                    for s, a, b in runs(keys, shards):
+                        out.append((level, s, row["block"][0].as_py(), pack_sorted(keys[a:b]), pack_numbers(total[a:b]), pack_numbers(out_held[a:b])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], [f.split()[0] for f in _ASK.split(", ")])
 
     return blocks.mapInArrow(run, _ASK)
@@ -157,16 +154,21 @@ _ZERO = 64 * STEP
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    with batch_bytes(docs.sparkSession, 16 << 20):  # blocks are large rows
+        return _score_corpus(docs, id_col, text_col)
+
+
+def _score_corpus(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # blocks are large rows
     scratch = Scratch(spark)
     blocks = scratch.write("blocks", token_blocks(docs, id_col, text_col, fold(f"`{id_col}`", FOLDS)))
-    size = blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    size, whole = (x or 0 for x in blocks.agg(F.sum(F.length("tokens")), F.sum(F.length("tokens") + F.length("vocab"))).first())
     shards = max(partitions(spark), math.ceil(3 * size / SHARD_BYTES))  # a byte of packed tokens is about 3 of text
     replies = scratch.write("replies", _asks(blocks, shards).groupBy("level", "shard").applyInPandas(_count, _REPLY))
     n, v, n_em, v_em = (x or 0 for x in replies.agg(*[F.sum(c) for c in ("n_tokens", "n_types", "n_tokens_em", "n_types_em")]).first())
-    by_block = replies.groupBy("block").agg(F.collect_list(F.struct("level", "shard", "total", "held")).alias("replies"))  # no more than the block asked for
-    joined = blocks.join(by_block, "block")
+    parts = partitions_for(spark, 2 * whole)  # a block and what comes back for it
+    by_block = replies.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("level", "shard", "total", "held")).alias("replies"))  # no more than the block asked for
+    joined = blocks.repartition(parts, "block").join(by_block, "block")
 
     def heldout(batches):
         for batch in batches:
@@ -199,7 +201,11 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ids = row["ids"].flatten()
                 yield pa.RecordBatch.from_arrays([ids, pa.array(marks == HELD_OUT), pa.array(count.astype(np.int64)), pa.array(known), pa.array(np.full(docs_, n, np.int64)), *(pa.array(s) for s in sums)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = joined.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = scratch.write("scores", scores)  # while the batches are small
+    for name in ("blocks", "replies"):
+        scratch.drop(name)
+    return scores
 
 
 def op1_ngram_lm(spark, sf_dir):

@@ -3,7 +3,8 @@
 Each document of source s is repeated K times, where K is drawn by inverting the Poisson distribution with
 the source's target repetition rate at a number in [0, 1) that an md5 of (seed, id) gives. Rates follow from
 target weights: rate(s) = weight(s) * budget / documents(s). Copies are then dealt out by another md5, which
-is the global shuffle: partitions by hash, rows sorted by it inside.
+is the global shuffle: partitions by hash, rows sorted by it inside. Rows of one id have the same keys, so the hash
+that deals them also has the row's place in its input partition, modulo SALTS: no id fills a task alone.
 
 Defined cases: a null source is a source of its own; a null id draws as the empty text; repeated rows draw
 alike, and each is repeated; an empty table gives an empty result; weights that name no present source are
@@ -15,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pack, partitions, table, unpack
+from .common import Scratch, pack, partitions_for, plan_bytes, table, unpack
 
 SEED = "mix-1"
 #: Without given weights, a source's weight is its number of documents to this power.
 ALPHA = 0.5
+#: Parts into which the rows of one id are dealt.
+SALTS = 64
 
 
 def rates(docs: DataFrame, source_col: str = "source", weights: dict[str | None, float] | None = None, alpha: float = ALPHA, budget: float = 1.0) -> DataFrame:
@@ -47,14 +50,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     spark = docs.sparkSession
     # written, so that Spark knows its size: it is sent to all tasks if it is small, else joined by shuffle
     by = Scratch(spark).write("rates", rates(docs, source_col, weights, alpha, budget)).withColumnRenamed("source", "_s")
-    out = pack(docs).withColumn("_id", F.coalesce(F.col(f"_row.`{id_col}`").cast("string"), F.lit("")))
+    out = pack(docs).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).withColumn("_id", F.coalesce(F.col(f"_row.`{id_col}`").cast("string"), F.lit("")))
     out = out.join(by, F.col(f"_row.`{source_col}`").cast("string").eqNullSafe(F.col("_s")))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), "_id")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     out = out.withColumn("_u", u).withColumn("_k", F.expr("size(filter(cdf, c -> c <= _u))"))
     out = out.filter("_k > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _k)")))
     out = out.withColumn("_key", F.substring(F.md5(F.concat_ws("|", F.lit(seed + "-order"), "_id", F.col("_copy").cast("string"))), 1, 16))
-    out = unpack(out, {}, {"rate": F.col("rate"), "n_copies": F.col("_k").cast("int"), "copy": F.col("_copy").cast("int"), "shuffle_key": F.col("_key")})
-    return out.repartition(partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+    out = out.repartition(partitions_for(spark, 4 * plan_bytes(docs)), "_key", "_salt").sortWithinPartitions("_key")
+    return unpack(out, {}, {"rate": F.col("rate"), "n_copies": F.col("_k").cast("int"), "copy": F.col("_copy").cast("int"), "shuffle_key": F.col("_key")})
 
 
 def op2_poisson_mix(spark, sf_dir):

@@ -8,6 +8,8 @@ and block some bytes travel, not per occurrence, and no table of the corpus is s
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +25,7 @@ BLOCK_BYTES = 8 << 20
 #: Number and hash of the token that ends every text; the hash is a fixed value.
 END, END_HASH = 0, 0x9E3779B97F4A7C15
 
-BLOCKS = "block long, ids array<long>, marks array<int>, lens array<int>, tokens binary, vocab binary"
+BLOCKS = "block long, ids array<long>, marks array<long>, lens array<int>, tokens binary, vocab binary"
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -73,7 +75,7 @@ class _Numbers(dict):
 
 
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, mark: Column | None = None, block_bytes: int = BLOCK_BYTES, ends: bool = True) -> DataFrame:
-    """docs as blocks (BLOCKS). Tokens: words in lower case (A-Z), then, with ends, one END per text. mark: an int per document that goes along."""
+    """docs as blocks (BLOCKS). Tokens: words in lower case (A-Z), then, with ends, one END per text. mark: a long per document that goes along."""
 
     def run(batches):
         part, count = TaskContext.get().partitionId(), 0
@@ -107,15 +109,26 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, mark: Column | Non
             yield block()
 
     ship(docs.sparkSession)
-    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), (F.lit(0) if mark is None else mark).cast("int").alias("mark"))
+    kept = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), (F.lit(0) if mark is None else mark).cast("long").alias("mark"))
     return kept.mapInArrow(run, BLOCKS)
 
 
 _NAMES = [f.split()[0] for f in BLOCKS.split(", ")]
-_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+_TYPES = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+
+
+@functools.lru_cache(8)
+def _bounds(shards: int, top: int) -> np.ndarray:
+    return np.array([(i << top) // shards for i in range(1, shards)], np.uint64)
 
 
 def cut(hashes: np.ndarray, shards: int, top: int = 64) -> np.ndarray:
     """Where the shards' ranges begin and end in ascending hashes of top bits."""
-    edges = np.array([(i << top) // shards for i in range(1, shards)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+    return np.concatenate([[0], np.searchsorted(hashes, _bounds(shards, top)), [len(hashes)]])
+
+
+def runs(hashes: np.ndarray, shards: int, top: int = 64) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of the shards that some of the ascending hashes fall in."""
+    edges = cut(hashes, shards, top)
+    used = np.flatnonzero(edges[1:] > edges[:-1])
+    return list(zip(used.tolist(), edges[used].tolist(), edges[used + 1].tolist()))
