@@ -32,6 +32,8 @@ CAPACITY = 2048
 #: Pieces per shard, in the mean.
 SHARD = 6000
 SLOTS = 4
+#: Copies of one row that are numbered in one go.
+COPIES = 1000
 
 OUT = "shard long, bin long, pos int, doc_id long, copy int, piece int, start long, n_tokens int, source string"
 
@@ -101,7 +103,10 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = Scratch(spark).write("rows", rows)  # small: no texts
     pieces = rows.agg(F.sum(F.col("m") * F.ceil(F.col("tokens") / capacity))).first()[0] or 0
     shards = max(1, math.ceil(pieces / shard_size))
-    rows = rows.withColumn("copy", F.explode(F.expr("sequence(1, int(m))")))
+    # a row that occurs often is numbered in runs of COPIES, which many tasks share
+    often = rows.filter(f"m > {COPIES}").withColumn("run", F.explode(F.expr(f"sequence(0L, (m - 1) div {COPIES})"))).repartition("doc_id", "source", "cluster", "tokens", "run")
+    often = often.withColumn("copy", F.explode(F.expr(f"sequence(int(run * {COPIES} + 1), int(least(m, (run + 1) * {COPIES})))"))).drop("run")
+    rows = rows.filter(f"m <= {COPIES}").withColumn("copy", F.explode(F.expr("sequence(1, int(m))"))).unionByName(often)
     rows = rows.withColumn("piece", F.explode(F.expr(f"sequence(0, int((tokens - 1) div {capacity}))")))
     rows = rows.withColumn("start", F.col("piece").cast("long") * capacity)
     rows = rows.withColumn("n_tokens", F.least(F.lit(capacity), F.col("tokens") - F.col("start")).cast("int"))
