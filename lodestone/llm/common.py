@@ -124,15 +124,19 @@ def plan_bytes(df: DataFrame) -> int:
 def batch_bytes(spark: SparkSession, size: int):
     """Arrow batches of about size bytes for the jobs that run within; then the session's setting is as it was."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
+    before = spark.conf.get(name)
     spark.conf.set(name, str(size))
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        spark.conf.set(name, before)
+
+
+def at_most_batches(spark: SparkSession, size: int) -> None:
+    """Lowers the session's Arrow batches to size bytes if they may be larger, for lazy results; no order of calls raises them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > size:
+        spark.conf.set(name, str(size))
 
 
 def slices(batch, column: int, size: int = 8 << 20):

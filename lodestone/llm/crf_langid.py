@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, ship, slices, table
+from .common import at_most_batches, fold, ship, slices, table
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE, TRAIN_CHARS = 300, 4000
@@ -297,6 +297,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """The columns of docs, then lang_pred, score, n_words and segments (first word, words, lang); an added column replaces one of its name."""
     spark = docs.sparkSession
     ship(spark)
+    at_most_batches(spark, 8 << 20)
     model = spark.sparkContext.broadcast(train(training_rows(docs, id_col, text_col, lang_col, sample)))
     added = T.StructType.fromDDL(ADDED)
     keep = [c for c in docs.columns if c not in added.names]

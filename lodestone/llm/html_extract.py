@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_first, ship, slices, table
+from .common import at_most_batches, likely_first, ship, slices, table
 from .html_blocks import Block, blocks
 
 PATH, WORDS, MEASURES, HIDDEN = 160, 48, 7, 24
@@ -369,6 +369,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     ship(spark)
+    at_most_batches(spark, 8 << 20)
     net = spark.sparkContext.broadcast(train(sample_words(pages, id_col, html_col)))
     names = [f.split()[0] for f in OUT.split(", ")]
 
