@@ -98,6 +98,21 @@ def _part(name: str, kind: T.DataType, text: str) -> Column:
     return key_text(name, kind) == F.lit(text)
 
 
+def typed_any(schema: T.StructType, columns: Sequence[str], keys: Sequence[str]) -> Column:
+    """Rows of any of some keys: one IN where the key is one column of text or integers."""
+    if len(columns) == 1 and isinstance(schema[columns[0]].dataType, (T.StringType, *_BOUNDS)):
+        kind, c = schema[columns[0]].dataType, F.col(f"`{columns[0]}`")
+        if isinstance(kind, T.StringType):
+            return c.isin(list(keys))
+        bits = next(b for t, b in _BOUNDS.items() if isinstance(kind, t))
+        fit = [int(k) for k in keys if re.fullmatch(r"-?(0|[1-9]\d*)", k) and k != "-0" and -(1 << bits) <= int(k) < 1 << bits]
+        return c.isin([F.lit(v).cast(kind) for v in fit]) if fit else F.lit(False)
+    out = F.lit(False)
+    for k in keys:
+        out = out | typed_predicate(schema, columns, k)
+    return out
+
+
 def typed_predicate(schema: T.StructType, columns: Sequence[str], key: str) -> Column:
     """Rows of a key, by comparisons with typed literals, which reach the Parquet scan; a text that no value has matches nothing."""
     require(schema, columns)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import time
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import RemoteStaleFile, StaleFile
 from ..functions import covering as cov
-from ..functions.keys import bucket_of, key_expr, typed_predicate
+from ..functions.keys import bucket_of, key_expr, typed_any, typed_predicate
 from ..functions.times import millis
 from ..plans.liveness import last_wins
 from ..plans.store import Store
@@ -21,6 +24,11 @@ from .postings import SCHEMA, postings, readable, with_address
 
 #: Keys of one batch that are sent as literals; more are joined.
 MANY_KEYS = 200
+#: Rows that one task puts in order, or that are sent to all tasks.
+FEW_ROWS = 20_000
+#: Data files whose names the driver holds at a time.
+LISTED = 100_000
+PARQUET = "*.[pP][aA][rR][qQ][uU][eE][tT]"
 _ALIASES = {"timestamp_ms": "timestamp"}
 
 
@@ -124,19 +132,20 @@ class Index:
         paths = [paths] if isinstance(paths, str) else list(paths)
         none = self.spark.createDataFrame([], SCHEMA)
         if paths:
-            data = self.spark.read.option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(*paths)
+            reader = self.spark.read.option("pathGlobFilter", PARQUET)
+            data = reader.parquet(*paths)
             if covering is True:
                 covering = cov.Covering.sniff(data.schema, self.time_column)
             entries = postings(data, key_columns, covering or None, position_deletes, equality_deletes)
             m = F.col("_metadata")
             files = data.select(m["file_path"].alias("file_path"), m["file_size"].alias("file_size"), F.unix_millis(m["file_modification_time"]).alias("file_mtime_ms")).groupBy("file_path").agg(F.max("file_size").alias("file_size"), F.max("file_mtime_ms").alias("file_mtime_ms")).withColumn("role", F.lit("live"))
         else:
-            entries, files = none, none.select("file_path", "file_size", "file_mtime_ms").withColumn("role", F.lit("live"))
+            reader, entries, files = None, none, none.select("file_path", "file_size", "file_mtime_ms").withColumn("role", F.lit("live"))
         extra = [(p, "dropped") for p in dropped] + [(p, "delete") for p in delete_files]
         if extra:
             files = files.unionByName(self.spark.createDataFrame(extra, "file_path string, role string"), allowMissingColumns=True)
         subset = position_deletes is not None or bool(equality_deletes)
-        return self.store.append(fragment_id, entries, files, buckets, key_columns=key_columns, value_columns=value_columns, note=note, kind=kind, snapshot_id=snapshot_id, subset=subset)
+        return self.store.append(fragment_id, entries, files, buckets, key_columns=key_columns, value_columns=value_columns, note=note, kind=kind, snapshot_id=snapshot_id, subset=subset, drops=bool(dropped), tombstones=False, schema=reader and reader.option("recursiveFileLookup", "true").parquet(*paths).schema.json(), paths=paths if len(paths) <= 100 else ())
 
     # ---- reading
 
@@ -164,36 +173,73 @@ class Index:
         return self.entries([key], opts).filter(entry_predicate(opts)).filter(c.isNotNull()).select(F.col("file_path").alias("file"), c["value_count"].alias("value_count"), c["value_count"].alias("count"), c["total"].alias("total"), c["min_ts"].alias("min_ts"), c["max_ts"].alias("max_ts"))
 
     def _empty(self, opts: QueryOptions) -> DataFrame:
-        """No rows, in the table's own schema if a file of it can still be read."""
+        """No rows, in the table's own schema."""
         schema = self.table_schema()
         rows, names, _ = expand_items(self.spark.createDataFrame([], schema), schema, self.time_column)
         return self._project(rows.select(*[F.col(f"`{c}`") for c in names]).withColumn("source_file", F.lit("")).withColumn("row_number", F.lit(0).cast("long")), opts)
 
-    def table_schema(self):
+    def table_schema(self) -> T.StructType:
+        known = [m["schema"] for m in self.store.manifests() if m.get("schema")]
+        if known:
+            return T.StructType.fromJson(json.loads(known[-1]))
         f = self.store.files().filter("role = 'live'").select("file_path").limit(1).collect()
         if not f:
             raise ValueError("the index has no file")
         return self.spark.read.parquet(readable(f[0][0])).schema
 
+    def read_files(self, files: Sequence[str], fragments: Iterable[str]) -> DataFrame:
+        """Data files of some fragments. With one schema in their manifests, no footer is read to plan."""
+        fragments = set(fragments)
+        known = {m.get("schema") for m in self.store.manifests() if m["fragment_id"] in fragments}
+        reader = self.spark.read
+        if len(known) == 1 and None not in known:
+            reader = reader.schema(T.StructType.fromJson(json.loads(known.pop())))
+        return reader.parquet(*[readable(f) for f in files])
+
+    def data_of(self, entries: DataFrame) -> DataFrame | None:
+        """The data that entries name, or None if they name none. Up to LISTED files are listed; beyond, the folders that the fragments were
+        built from are read, if the manifests have them, so that the driver holds no list that grows with the lake."""
+        named = entries.select("file_path").distinct()
+        files = [r[0] for r in named.limit(LISTED + 1).collect()]
+        ms = self.store.manifests()
+        if len(files) > LISTED:
+            whole = {m["fragment_id"]: m.get("paths") for m in ms if m["key_columns"]}
+            if all(whole.values()):
+                paths = list(dict.fromkeys(p for v in whole.values() for p in v))
+                return self.spark.read.schema(self.table_schema()).option("recursiveFileLookup", "true").option("pathGlobFilter", PARQUET).parquet(*paths)
+            files = [r[0] for r in named.toLocalIterator()]
+        return self.read_files(files, [m["fragment_id"] for m in ms if m["key_columns"]]) if files else None
+
     def _project(self, rows: DataFrame, opts: QueryOptions) -> DataFrame:
         if opts.columns and "*" not in opts.columns:
             wanted = {_ALIASES.get(c, c) for c in opts.columns} | set(opts.columns)
             rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c in wanted or c in ("source_file", "row_number")])
         return rows
 
-    def check_fresh(self, files: DataFrame) -> None:
-        """StaleFile for a file whose size or time is not what the index has; both sides must know a value for it to count."""
-        for r in files.select("file_path", "file_size", "file_mtime_ms", "file_etag").distinct().toLocalIterator():
+    def check_fresh(self, files: DataFrame | Iterable) -> None:
+        """StaleFile for a file whose size, time or etag is not what the index has; both sides must know a value for it to count.
+
+        files: rows with file_path, file_size, file_mtime_ms, file_etag; asked of the file system in parallel."""
+        if isinstance(files, DataFrame):
+            files = files.select("file_path", "file_size", "file_mtime_ms", "file_etag").distinct().toLocalIterator()
+
+        def check(r) -> None:
             live = self.store.fs.status(readable(r.file_path))
+            now = dict(zip(("size", "mtime_ms", "etag"), live or (None, None, None)))
             stored = {"etag": r.file_etag, "size": r.file_size, "mtime_ms": r.file_mtime_ms}
-            if live is None or (r.file_size is not None and live[0] != r.file_size) or (r.file_mtime_ms is not None and live[1] != r.file_mtime_ms):
+            if live is None or any(stored[k] is not None and now[k] is not None and stored[k] != now[k] for k in stored):
                 error = StaleFile if r.file_path.startswith(("file:", "/")) else RemoteStaleFile
-                raise error("an indexed file is missing or has changed", path=r.file_path, stored=stored, live=None if live is None else {"etag": None, "size": live[0], "mtime_ms": live[1]})
+                raise error("an indexed file is missing or has changed", path=r.file_path, stored=stored, live=None if live is None else now)
+
+        with ThreadPoolExecutor(8) as pool:
+            while part := list(itertools.islice(files := iter(files), 1024)):
+                list(pool.map(check, part))
 
     def lookup(self, key: str, opts: QueryOptions | None = None, **kw) -> QueryResult:
         """The rows of one key. Order: entry predicates, covering, identity check, pages, read, items, time window, limit.
 
-        Nested and blob layouts give a row per item: pages count physical rows, the limit then cuts items."""
+        One job reads the key's entries (one per file, without row numbers) to the driver, which cuts the page by their counts; the result is
+        one scan. Nested and blob layouts give a row per item: pages count physical rows, the limit then cuts items."""
         opts = opts or QueryOptions(**kw)
         begun = time.perf_counter()
         marks = {}
@@ -202,43 +248,46 @@ class Index:
             marks[name] = round((time.perf_counter() - begun) * 1000, 3)
 
         manifests = self.store.manifests()
-        found = self.entries([key], opts).withColumn("_keep", entry_predicate(opts)).select("file_path", "seq", "row_numbers", "value_count", "covering", "file_size", "file_mtime_ms", "file_etag", "_keep").cache()
-        try:
-            n_all, n_kept, total = found.agg(F.count(F.lit(1)), F.sum(F.col("_keep").cast("long")), F.sum(F.when(F.col("_keep"), F.col("value_count")))).first()
-            kept = found.filter("_keep")
-            covering = self.covering(key, opts)
-            mark("index_lookup_ms")
-            totals = {"value_count": total or 0, "skipped_by_predicate": n_all - (n_kept or 0), "files_touched": 0, "offset": opts.offset, "limit": opts.limit}
-            if opts.covering_only or not n_kept:
-                rows = self._empty(opts) if manifests else None
-                return QueryResult(key, rows, covering, {"timings": marks, "totals": totals})
-            if opts.verify:
-                self.check_fresh(kept)
-            mark("metadata_resolve_ms")
-            paged = opts.offset > 0 or opts.limit is not None
-            files = [r[0] for r in kept.groupBy("file_path").agg(F.min("seq").alias("s")).orderBy("s", "file_path").select("file_path").toLocalIterator()]
-            repeated = len(files) < n_kept
-            at = None
-            if paged or repeated or any(m["subset"] for m in manifests):
-                at = kept.select("seq", F.col("file_path").alias("_file"), F.posexplode("row_numbers").alias("_pos", "_row"))
-                if paged:
-                    at = at.orderBy("seq", "_file", "_pos").offset(opts.offset)
-                    at = at.limit(opts.limit) if opts.limit is not None else at
-                at = at.select("_file", "_row")
-            data = self.spark.read.parquet(*[readable(f) for f in files])
-            rows = with_address(data).drop("_size", "_mtime").filter(typed_predicate(data.schema, self.key_columns(), key))
-            if at is not None:
-                at = self.spark.createDataFrame(at.collect(), at.schema) if opts.limit is not None else at
-                rows = rows.join(at, ["_file", "_row"])
-            totals["files_touched"] = len(files)
-        finally:
-            found.unpersist()
+        entries = self.entries([key], opts)
+        found = entries.select("file_path", "fragment_id", "seq", "value_count", F.size("row_numbers").alias("n"), "file_size", "file_mtime_ms", "file_etag", entry_predicate(opts).alias("keep")).collect()
+        kept = sorted((r for r in found if r.keep), key=lambda r: (r.seq, r.file_path))
+        covering = self.covering(key, opts)
+        mark("index_lookup_ms")
+        values = sum(r.value_count or 0 for r in kept)
+        totals = {"value_count": values, "skipped_by_predicate": len(found) - len(kept), "files_touched": 0, "offset": opts.offset, "limit": opts.limit}
+        if opts.covering_only or not kept:
+            rows = self._empty(opts) if manifests else None
+            return QueryResult(key, rows, covering, {"timings": marks, "totals": totals})
+        if opts.verify:
+            self.check_fresh(kept)
+        mark("metadata_resolve_ms")
+        files, spans = list(dict.fromkeys(r.file_path for r in kept)), None
+        if opts.offset or opts.limit is not None or len(files) < len(kept) or any(m["subset"] for m in manifests):
+            spans, skip, left = [], opts.offset, opts.limit
+            for r in kept:
+                a = min(skip, r.n)
+                b = r.n if left is None else min(r.n, a + left)
+                skip, left = skip - a, None if left is None else left - (b - a)
+                if b > a:
+                    spans.append((r.seq, r.file_path, a, b - a))
+            files = list(dict.fromkeys(p for _, p, _, _ in spans))
+        totals["files_touched"] = len(files)
+        if not files:
+            return QueryResult(key, self._empty(opts), covering, {"timings": marks, "totals": totals})
+        data = self.read_files(files, (r.fragment_id for r in kept))
+        rows = with_address(data).drop("_size", "_mtime").filter(typed_predicate(data.schema, self.key_columns(), key))
+        if spans is not None:
+            cut = F.broadcast(self.spark.createDataFrame(spans, "seq long, file_path string, _from int, _n int"))  # a row per entry, as collected above
+            at = entries.join(cut, ["seq", "file_path"]).select(F.col("file_path").alias("_file"), F.explode(F.slice("row_numbers", F.col("_from") + 1, F.col("_n"))).alias("_row"))
+            few = sum(n for _, _, _, n in spans) <= FEW_ROWS
+            rows = rows.join(F.broadcast(at) if few else at, ["_file", "_row"])
         rows, names, ms = expand_items(rows, data.schema, self.time_column)
         order = [F.col("_file"), F.col("_row"), F.col("_item")]
         if ms is not None:
             rows = rows.filter(time_window(ms, opts))
             order = [F.coalesce(ms, F.lit(0)), *order]
-        rows = rows.orderBy(*order)
+        # few rows by the index's own count need no sampling to be put in order
+        rows = rows.repartition(1).sortWithinPartitions(*order) if values <= FEW_ROWS else rows.orderBy(*order)
         if opts.limit is not None:
             rows = rows.limit(opts.limit)
         rows = rows.select(*[F.col(f"`{c}`") for c in names], F.col("_file").alias("source_file"), F.col("_row").alias("row_number"))
@@ -248,15 +297,17 @@ class Index:
     def lookup_many(self, keys: Sequence[str] | DataFrame, opts: QueryOptions | None = None) -> DataFrame:
         """The rows of many keys in one job, with `key`, source_file and row_number; each key paged on its own, items as in lookup().
 
-        keys: a list, or a DataFrame with a column `key`, which is joined and never collected."""
+        keys: a list, whose typed literals reach the scan, or a DataFrame with a column `key`, which is joined and never collected."""
         opts = opts or QueryOptions()
+        literal = None
         if isinstance(keys, DataFrame):
             wanted = keys.select("key").distinct()
             entries = self.entries(opts=opts).join(wanted, "key", "left_semi")
         elif len(keys) > MANY_KEYS:
             return self.lookup_many(self.spark.createDataFrame([(k,) for k in keys], "key string"), opts)
         else:
-            entries = self.entries(list(keys), opts)
+            literal = list(dict.fromkeys(keys))
+            entries = self.entries(literal, opts)
         entries = entries.filter(entry_predicate(opts))
         if opts.verify:
             self.check_fresh(entries)
@@ -264,19 +315,23 @@ class Index:
         if opts.offset or opts.limit is not None:
             at = at.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("seq", "_file", "_pos"))).filter(F.col("_n") > opts.offset)
             at = at.filter(F.col("_n") <= opts.offset + opts.limit) if opts.limit is not None else at
-        files = [readable(r[0]) for r in entries.select("file_path").distinct().toLocalIterator()]
-        if not files:
+        data = self.data_of(entries)
+        if data is None:
             return self._empty(opts).withColumn("key", F.lit(""))
-        data = self.spark.read.parquet(*files)
-        rows = with_address(data).drop("_size", "_mtime").join(at.select("key", "_file", "_row"), ["_file", "_row"])
+        columns = self.key_columns()
+        rows = with_address(data).drop("_size", "_mtime")
+        if literal is not None:
+            rows = rows.filter(typed_any(data.schema, columns, literal))
+        # the key is no more than the address tells, but a filter on it can be made from the keys' side before rows travel
+        rows = rows.withColumn("_key", key_expr(data.schema, columns)).join(at.select(F.col("key").alias("_key"), "_file", "_row"), ["_key", "_file", "_row"])
         rows, names, ms = expand_items(rows, data.schema, self.time_column)
         if ms is not None:
             rows = rows.filter(time_window(ms, opts))
         if opts.limit is not None and layout_of(data.schema, self.time_column) != "flat":
             by = [F.coalesce(ms, F.lit(0))] if ms is not None else []
-            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(*by, "_file", "_row", "_item"))).filter(F.col("_n") <= opts.limit)
+            rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*by, "_file", "_row", "_item"))).filter(F.col("_n") <= opts.limit)
         names = [c for c in names if c != "key"]
-        out = rows.select("key", *[F.col(f"`{c}`") for c in names], F.col("_file").alias("source_file"), F.col("_row").alias("row_number"))
+        out = rows.select(F.col("_key").alias("key"), *[F.col(f"`{c}`") for c in names], F.col("_file").alias("source_file"), F.col("_row").alias("row_number"))
         return self._project(out, opts) if not opts.columns else self._project(out, QueryOptions(columns=[*opts.columns, "key"]))
 
     def explain(self, key: str, opts: QueryOptions | None = None, pages: bool = False) -> dict:
@@ -334,7 +389,7 @@ class Index:
         none = self.spark.createDataFrame([], "file_path string, role string")
         buckets = max([m["num_buckets"] for m in self.store.manifests()], default=16)
         df.write.mode("append").json(self.store.fs.path("forgotten"))
-        return self.store.append(fragment_id or f"forget-{time.time_ns() // 1_000_000}", stones, none, buckets, kind="forget", note="forget")
+        return self.store.append(fragment_id or f"forget-{time.time_ns() // 1_000_000}", stones, none, buckets, kind="forget", note="forget", drops=False)
 
     def compact(self, fragment_id: str | None = None) -> dict:
         """Rewrites the live set as one fragment; the last entry of a (key, file) wins."""
@@ -344,7 +399,8 @@ class Index:
             raise ValueError("the index has no fragment")
         live = last_wins(self.store.live())
         stones = self.store.entries().filter("tombstone").select("key").distinct()
-        forgotten = self.store.forgotten().select("key").unionByName(stones).distinct().count()
+        hidden = self.store.forgotten()
+        forgotten = (stones if hidden is None else hidden.select("key").unionByName(stones)).distinct().count()
         files = live.groupBy("file_path").agg(F.max_by("file_size", "seq").alias("file_size"), F.max_by("file_mtime_ms", "seq").alias("file_mtime_ms"), F.max_by("file_etag", "seq").alias("file_etag")).withColumn("role", F.lit("live"))
         events = self.store.files()
         last_seq = events.filter("snapshot").agg(F.max("seq").alias("seq"))
@@ -352,7 +408,7 @@ class Index:
         files = files.unionByName(deletes.select(*files.columns))
         snapshot = max((m["seq"], m["snapshot_id"]) for m in ms if m["snapshot_id"] is not None)[1] if any(m["snapshot_id"] is not None for m in ms) else None
         fragment_id = fragment_id or f"compact-{time.time_ns() // 1_000_000}"
-        self.store.append(fragment_id, live, files, last["num_buckets"], key_columns=last["key_columns"], value_columns=last["value_columns"], snapshot_id=snapshot, kind="snapshot" if snapshot is not None else "compact", note="compact", subset=any(m["subset"] for m in ms), replace=True)
+        self.store.append(fragment_id, live, files, last["num_buckets"], key_columns=last["key_columns"], value_columns=last["value_columns"], snapshot_id=snapshot, kind="snapshot" if snapshot is not None else "compact", note="compact", subset=any(m["subset"] for m in ms), replace=True, drops=False, tombstones=False, schema=last.get("schema") if len({m.get("schema") for m in ms if m["key_columns"]}) == 1 else None, paths=list(dict.fromkeys(p for m in ms for p in m.get("paths") or ())) if all(m.get("paths") for m in ms if m["key_columns"]) else ())
         n = self.store.entries().agg(F.countDistinct("key"), F.count(F.lit(1)), F.countDistinct("file_path")).first()
         return {"fragment_id": fragment_id, "keys": n[0], "entries": n[1], "files": n[2], "dropped_tombstoned_keys": forgotten}
 

@@ -57,13 +57,19 @@ class Fs:
         fs, p = self._p(name)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def status(self, name: str) -> tuple[int, int] | None:
-        """Size and modification time in ms, or None."""
+    def status(self, name: str) -> tuple[int, int, str | None] | None:
+        """Size, modification time in ms and, where the file system has one, etag; or None."""
         fs, p = self._p(name)
         if not fs.exists(p):
             return None
         s = fs.getFileStatus(p)
-        return s.getLen(), s.getModificationTime()
+        tagged = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.EtagSource").isInstance(s)
+        return s.getLen(), s.getModificationTime(), s.getEtag() if tagged else None
+
+    def rename(self, old: str, new: str) -> None:
+        fs, p = self._p(old)
+        if not fs.rename(p, self._p(new)[1]):
+            raise OSError(f"cannot rename {old} to {new}")
 
     @contextlib.contextmanager
     def lock(self, name: str = ".lock", wait_s: float = 0.2):

@@ -54,10 +54,11 @@ class Store:
 
     # ---- fragments
 
-    def append(self, fragment_id: str | None, entries: DataFrame, files: DataFrame, buckets: int, *, key_columns=(), value_columns=(), snapshot_id=None, kind: str = "plain", note: str | None = None, subset: bool = False, replace: bool = False, prefix: str = "frag") -> str:
+    def append(self, fragment_id: str | None, entries: DataFrame, files: DataFrame, buckets: int, *, key_columns=(), value_columns=(), snapshot_id=None, kind: str = "plain", note: str | None = None, subset: bool = False, replace: bool = False, prefix: str = "frag", drops: bool = True, tombstones: bool = True, schema: str | None = None, paths=()) -> str:
         """Writes a fragment and publishes it. entries: postings() or the entries of other fragments; replace: it becomes the only one.
 
-        subset: entries name some rows of a key in a file, not all (deletes were applied). The same id again overwrites the fragment in its place.
+        subset: entries name some rows of a key in a file, not all (deletes were applied). drops, tombstones: whether there may be any;
+        schema, paths: of the data, as JSON and as given. The same id again overwrites the fragment in its place.
         """
         if buckets < 1:
             raise ValueError("buckets must be 1 or more")
@@ -78,7 +79,7 @@ class Store:
             out.write.mode("overwrite").partitionBy("bucket").parquet(self.fs.path(f"{fresh}/entries"))
             names = [f.split()[0] for f in FILES.split(", ")]
             files.select(*[F.col(n) if n in files.columns else F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in FILES.split(", "))]).select(*names).write.mode("overwrite").parquet(self.fs.path(f"{fresh}/files"))
-            manifest = {"fragment_id": fragment_id, "seq": seq, "created_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "num_buckets": buckets, "note": note, "kind": kind, "subset": subset, "key_columns": list(key_columns), "value_columns": list(value_columns), "snapshot_id": snapshot_id}
+            manifest = {"fragment_id": fragment_id, "seq": seq, "created_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "num_buckets": buckets, "note": note, "kind": kind, "subset": subset, "key_columns": list(key_columns), "value_columns": list(value_columns), "snapshot_id": snapshot_id, "drops": drops, "tombstones": tombstones, "schema": schema, "paths": list(paths)}
             self.fs.write(f"{fresh}/manifest.json", json.dumps(manifest, indent=2))
             if fresh != at:
                 self.fs.delete(at)
@@ -120,10 +121,17 @@ class Store:
             parts.append(df.select("*", F.lit(m["fragment_id"]).alias("fragment_id"), F.lit(m["seq"]).cast("long").alias("seq"), F.lit(m["kind"] == "snapshot").alias("snapshot")))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], FILES + ", fragment_id string, seq bigint, snapshot boolean")
 
-    def forgotten(self) -> DataFrame:
+    def forgotten(self) -> DataFrame | None:
+        """The keys hidden for good; None if there are none."""
         if not self.fs.list("forgotten"):
-            return self.spark.createDataFrame([], "key string")
+            return None
         return self.spark.read.schema("key string").json(self.fs.path("forgotten"))
 
     def live(self, keys: list[str] | None = None, buckets: dict[str, list[int]] | None = None) -> DataFrame:
-        return live_entries(self.entries(keys, buckets), self.files(), self.forgotten())
+        """Live entries. Rules that no manifest has a case of take no part in the plan; of given keys only their files' events do."""
+        ms = self.manifests()
+        entries = self.entries(keys, buckets)
+        files = self.files() if any(m.get("drops", True) or m["kind"] == "snapshot" for m in ms) else None
+        if files is not None and keys is not None:
+            files = files.join(entries.select("file_path").distinct(), "file_path", "left_semi")
+        return live_entries(entries, files, self.forgotten(), any(m.get("tombstones", True) for m in ms))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import covering as cov
 from .functions.keys import bucket_expr, key_text
 from .functions.times import millis
-from .operators.index import Index, QueryOptions, naive_scan
+from .operators.index import Index, QueryOptions, entry_predicate, naive_scan
 from .operators.postings import apply_equality_deletes, apply_position_deletes, postings
 from .operators.secondary import Secondary, secondary_postings
 from .operators.sql_scope import run_sql
@@ -210,6 +210,32 @@ def verify_files(spark, sf_dir):
     return _events(spark, sf_dir).verify().filter("status = 'ok'").select(F.lit("events").alias("name"), "status").distinct()
 
 
+def verify_changed(spark, sf_dir):
+    """A file as it was, one that was written again, and one that is gone."""
+    folder = shared_folder(spark, "verify")
+    ev = _t(spark, sf_dir, "events")
+    for k in range(3):
+        ev.filter(f"event_id % 3 = {k}").coalesce(1).write.parquet(f"{folder}/d{k}")
+    index = _new(spark, "ts")
+    index.build([f"{folder}/d{k}" for k in range(3)], ["user_id"])
+    for r in index.store.files().filter("file_path like '%/d1/%' or file_path like '%/d2/%'").collect():
+        index.store.fs.delete(r.file_path)
+        if "/d1/" in r.file_path:
+            index.store.fs.write(r.file_path, "another file")
+    return index.verify().select(F.regexp_extract("file_path", r"/(d\d)/[^/]*$", 1).alias("name"), "status")
+
+
+def stats_of_fragments(spark, sf_dir):
+    s = _events(spark, sf_dir).stats()
+    return spark.createDataFrame([(s["num_files"], s["num_fragments"], f["num_buckets"], ",".join(f["key_columns"])) for f in s["fragments"]], "num_files long, num_fragments long, num_buckets long, key_columns string")
+
+
+def entries_by_predicate(spark, sf_dir):
+    """The entries that a minimum count and a time window leave, by covering values alone."""
+    keep = entry_predicate(QueryOptions(min_count=60, since_ms=_T1, until_ms=_T1 + 86_400_000))
+    return _events(spark, sf_dir).entries().filter(keep).select("key", "value_count")
+
+
 def verify_rows(spark, sf_dir):
     """A row per indexed file, whatever its status; a file under the table's folder counts by the table's name."""
     name = F.regexp_extract(F.regexp_replace("file_path", r"[.]parquet/[^/]*$", ".parquet"), r"([^/]*)[.]parquet$", 1)
@@ -231,6 +257,15 @@ def json_sink(spark, sf_dir):
     return json_rows(rows).select(F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), F.get_json_object("json", "$.event_type").alias("event_type"))
 
 
+def json_sink_types(spark, sf_dir):
+    """Lists of structs, bytes, decimals, numbers that are not finite, times and nulls as JSON."""
+    ev = _t(spark, sf_dir, "events")
+    pair = F.array(F.struct(F.col("event_type").alias("t"), F.col("value").cast("decimal(12,2)").alias("d")), F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).cast("decimal(12,2)").alias("d")))
+    rows = ev.select("event_id", pair.alias("items"), F.col("event_type").cast("binary").alias("raw"), F.when(F.col("value") > 50, F.lit(float("nan"))).otherwise(F.lit(0.5)).alias("x"), "ts")
+    get = lambda p: F.get_json_object("json", p)
+    return json_rows(rows).select(get("$.event_id").cast("long").alias("event_id"), get("$.items[0].t").alias("t"), get("$.items[0].d").alias("d"), get("$.items[1].d").alias("zero"), get("$.raw").alias("raw"), get("$.x").cast("double").alias("x"), get("$.ts").alias("ts"))
+
+
 # ---- secondary
 
 
@@ -272,6 +307,45 @@ def secondary_lineitem(spark, sf_dir):
     return _refs(secondary_postings(_t(spark, sf_dir, "lineitem"), "l_returnflag", ["l_suppkey"]))
 
 
+def secondary_page(spark, sf_dir):
+    s = _secondary(spark, sf_dir)
+    return _plain_events(s.rows(s.lookup_exact("view"), offset=3, limit=7))
+
+
+def _with_deletes(spark, sf_dir) -> Index:
+    """Events without rows that a position delete of the real file names, and without those that equal a delete record."""
+    ev = _t(spark, sf_dir, "events")
+    at = ev.filter("event_id % 7 = 0").select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.row_index").alias("pos"))
+    gone = ev.filter("event_id % 10 = 3").select("user_id", "event_type").distinct()
+    index = _new(spark, "ts")
+    index.build(f"{sf_dir}/events.parquet", ["user_id"], position_deletes=at, equality_deletes=[gone])
+    return index
+
+
+def lookup_deleted(spark, sf_dir):
+    return _plain_events(_with_deletes(spark, sf_dir).lookup("13").rows)
+
+
+def secondary_deleted(spark, sf_dir):
+    """The rows of a value, those without the deleted ones."""
+    s = Secondary(_with_deletes(spark, sf_dir), "event_type").build()
+    return _plain_events(s.rows(s.lookup_prefix("")))
+
+
+def secondary_second_fragment(spark, sf_dir):
+    """A secondary index, then a fragment that comes later, a forgotten key, and all rows of a value."""
+    folder = shared_folder(spark, "halves")
+    ev = _t(spark, sf_dir, "events")
+    for k in (0, 1):
+        ev.filter(f"event_id % 2 = {k}").write.parquet(f"{folder}/d{k}")
+    index = _new(spark, "ts")
+    index.build(f"{folder}/d0", ["user_id"])
+    s = Secondary(index, "event_type").build()
+    index.build(f"{folder}/d1", ["user_id"])
+    index.forget(["13"])
+    return _plain_events(s.rows(s.lookup_exact("error")))
+
+
 # ---- deletes, liveness, maintenance
 
 
@@ -395,9 +469,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         key_bucket, key_text_timestamp, postings_by_key, compound_key_index, timestamp_key_index, covering_flat, covering_orders, cogroup_sizes, blob_expand,
         index_build, point_lookup, point_lookup_projection, point_lookup_time_window, point_lookup_missing, paginate, paginate_then_window, multi_key_lookup, multi_key_join, multi_key_paged,
-        covering_only, min_count_entries, explain_counts, index_stats, verify_files, verify_rows, full_scan, compound_lookup, json_sink,
-        secondary_exact, secondary_range, secondary_prefix, secondary_rows, secondary_rows_all, secondary_lineitem,
-        equality_delete, position_delete, dropped_and_superseded, tombstones_and_forgotten, compact_last_wins, forget_and_compact, duplicate_fragments, snapshot_files_diff, snapshot_index, stream_index,
+        covering_only, min_count_entries, entries_by_predicate, explain_counts, index_stats, stats_of_fragments, verify_files, verify_rows, verify_changed, full_scan, compound_lookup, json_sink, json_sink_types,
+        secondary_exact, secondary_range, secondary_prefix, secondary_rows, secondary_rows_all, secondary_page, secondary_deleted, secondary_second_fragment, secondary_lineitem,
+        equality_delete, position_delete, lookup_deleted, dropped_and_superseded, tombstones_and_forgotten, compact_last_wins, forget_and_compact, duplicate_fragments, snapshot_files_diff, snapshot_index, stream_index,
         sql_key_lookup, sql_no_key,
     ]
     out = {f.__name__: f for f in plain}
@@ -411,6 +485,7 @@ def oracle_sql() -> dict[str, str]:
     covering = "select {k}::varchar as key, count(*)::bigint value_count, round(sum(greatest({v}, 0)::decimal(38,6))::double, 2) as total, min(epoch_us({t}) // 1000)::bigint min_ts, max(epoch_us({t}) // 1000)::bigint max_ts from {f} group by 1"
     bucket = "(('0x' || substr(sha256({0}), 1, 16))::ubigint % {1})::integer"
     layout = "select user_id::varchar as key, count(*)::bigint value_count, sum(greatest(floor(value * 100)::bigint, 0))::double as total, min(epoch_us(ts) // 1000)::bigint min_ts, max(epoch_us(ts) // 1000)::bigint max_ts from events group by 1"
+    kept = "kept as (select * from events e where event_id % 7 <> 0 and not exists (select 1 from events d where d.event_id % 10 = 3 and d.user_id is not distinct from e.user_id and d.event_type is not distinct from e.event_type))"
     path = "'/d/' || o_orderpriority || '-' || o_orderkey::varchar"
     out = {
         "key_bucket": f"select distinct user_id::varchar as key, {bucket.format('user_id::varchar', 16)} bucket from events",
@@ -438,6 +513,10 @@ def oracle_sql() -> dict[str, str]:
         "index_stats": "select count(distinct user_id)::bigint num_keys, count(distinct user_id)::bigint num_entries from events",
         "verify_files": "select 'events' as name, 'ok' as status",
         "verify_rows": "select 'events' as name, 'ok' as status",
+        "verify_changed": "select * from (values ('d0', 'ok'), ('d1', 'stale'), ('d2', 'stale')) v(name, status)",
+        "stats_of_fragments": "select 1::bigint num_files, 1::bigint num_fragments, 16::bigint num_buckets, 'user_id' key_columns",
+        "entries_by_predicate": f"select user_id::varchar as key, count(*)::bigint value_count from events group by 1 having count(*) >= 60 and max(epoch_us(ts) // 1000) >= {_T1} and min(epoch_us(ts) // 1000) <= {_T1 + 86_400_000}",
+        "json_sink_types": "select event_id, event_type t, value::decimal(12,2)::varchar d, '0.00' zero, lower(hex(event_type::blob)) raw, case when value > 50 then null else 0.5::double end x, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') ts from events",
         "full_scan": f"select {_EVENT_SQL} from events where user_id = 13",
         "compound_lookup": "select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_orderkey = 7 and l_linenumber = 1",
         "json_sink": "select event_id, event_type from events where user_id = 13",
@@ -446,6 +525,10 @@ def oracle_sql() -> dict[str, str]:
         "secondary_prefix": "select event_type dim, user_id::varchar as key, count(*)::bigint value_count from events where starts_with(event_type, 'p') group by 1, 2",
         "secondary_rows": f"select {_EVENT_SQL} from events where event_type = 'error' and user_id in (13, 14)",
         "secondary_rows_all": f"select {_EVENT_SQL} from events where event_type = 'error'",
+        "secondary_page": f"select {_EVENT_SQL} from events where event_type = 'view' order by event_id limit 7 offset 3",
+        "lookup_deleted": f"with {kept} select {_EVENT_SQL} from kept where user_id = 13",
+        "secondary_deleted": f"with {kept} select {_EVENT_SQL} from kept",
+        "secondary_second_fragment": f"select {_EVENT_SQL} from events where event_type = 'error' and user_id <> 13",
         "secondary_lineitem": "select l_returnflag dim, l_suppkey::varchar as key, count(*)::bigint value_count from lineitem group by 1, 2",
         "equality_delete": "select event_id from events e where not exists (select 1 from events d where d.event_id % 10 = 0 and d.user_id is not distinct from e.user_id and d.event_type is not distinct from e.event_type)",
         "position_delete": "select event_id from events where event_id % 7 <> 0",
