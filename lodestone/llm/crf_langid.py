@@ -36,8 +36,8 @@ SPACE = 1 << SPACE_BITS
 UNDETERMINED = "und"
 #: What str.split() takes for white space.
 BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-#: Cells of a padded batch of chains, and words whose scores are kept at a time.
-CELLS, KEPT_WORDS = 1 << 20, 400_000
+#: Cells of a padded batch of chains, words whose scores are kept at a time, and bytes of text that are labelled at a time: these bound a worker's memory.
+CELLS, KEPT_WORDS, SLICE_BYTES = 1 << 18, 100_000, 2 << 20
 
 ADDED = "lang_pred string, score double, n_words long, segments array<struct<first:int,words:int,lang:string>>"
 
@@ -307,7 +307,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches):
         known = None
-        for batch in (part for whole in batches for part in slices(whole, 0)):
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE_BYTES)):
             texts = batch.column(0).to_pylist()
             if model.value is None:
                 rows = [(UNDETERMINED, 0.0, len((t or "").split()), []) for t in texts]
