@@ -34,12 +34,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, table
+from .common import Scratch, batch_bytes, pack, partitions, partitions_for, table
 from .components import components
-from .tokens import _unplanes, _planes, cut, mix, pack_sorted, token_blocks, unpack_numbers, unpack_sorted
+from .tokens import _planes, _unplanes, mix, pack_sorted, runs, token_blocks, unpack_numbers, unpack_sorted
 
 WORDS = 5
 #: Links: PERCENT of the union or more.
@@ -54,7 +54,7 @@ FIRST = 8
 #: Cells per token that shingles are counted in, at least.
 CELLS = 16
 
-_SETS = "doc_id long, n long, s1 long, s2 long"
+_SETS = "doc_id long, t long, n long, s1 long, s2 long"
 _ASK = "shard int, block long, cells binary, counts binary"
 _REPLY = "shard int, block long, codes binary"
 _CAND = "n long, s1 long, s2 long, keys array<long>, sig binary, elements binary"
@@ -196,9 +196,8 @@ class _Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int):
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # blocks are large rows
         self.scratch = Scratch(self.spark)
-        self.blocks = self.scratch.write("blocks", token_blocks(docs, id_col, text_col, ends=False))
+        self.blocks = self.scratch.write("blocks", token_blocks(docs, id_col, text_col, F.xxhash64(F.col(f"`{text_col}`")), ends=False))
 
     def sets(self) -> DataFrame:
         words = self.words
@@ -207,28 +206,28 @@ class _Join:
             for row in _rows(batches):
                 sets = _block_sets(row, words)
                 h = [_set_hash(u) for u in sets]
-                yield pa.RecordBatch.from_arrays([row["ids"].flatten(), pa.array([len(u) for u in sets], pa.int64()), *(pa.array([x[k] for x in h], pa.int64()) for k in (0, 1))], _names(_SETS))
+                yield pa.RecordBatch.from_arrays([row["ids"].flatten(), row["marks"].flatten(), pa.array([len(u) for u in sets], pa.int64()), *(pa.array([x[k] for x in h], pa.int64()) for k in (0, 1))], _names(_SETS))
 
         return self.scratch.write("sets", self.blocks.mapInArrow(run, _SETS))
 
     def candidates(self) -> DataFrame:
         """The documents that have a shared shingle in their prefix, with what comparing them takes."""
         words, percent = self.words, self.percent
-        size, tokens = self.blocks.agg(F.sum(F.length("tokens")), F.sum(F.expr("aggregate(lens, 0L, (s, x) -> s + x)"))).first()
-        bits = min(62, max(20, math.ceil(math.log2(CELLS * (tokens or 1)))))
-        shards = max(partitions(self.spark), math.ceil(3 * (size or 0) / SHARD_BYTES))
+        size, whole, tokens = (x or 0 for x in self.blocks.agg(F.sum(F.length("tokens")), F.sum(F.length("tokens") + F.length("vocab")), F.sum(F.expr("aggregate(lens, 0L, (s, x) -> s + x)"))).first())
+        bits = min(62, max(20, math.ceil(math.log2(CELLS * max(1, tokens)))))
+        shards = max(partitions(self.spark), math.ceil(3 * size / SHARD_BYTES))
 
         def asks(batches):
             for row in _rows(batches):
                 cells, counts = np.unique(_cells(_distinct(_block_sets(row, words)), bits), return_counts=True)
-                edges = cut(cells, shards, bits)
-                used = [s for s in range(shards) if edges[s] < edges[s + 1]]
-                parts = [slice(edges[s], edges[s + 1]) for s in used]
+                used = runs(cells, shards, bits)
+                parts = [slice(a, b) for _, a, b in used]
                 counts = np.minimum(counts, 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([row["block"][0].as_py()] * len(used), pa.int64()), pa.array([pack_sorted(cells[p]) for p in parts], pa.binary()), pa.array([_planes(counts[p]) for p in parts], pa.binary())], _names(_ASK))
+                yield pa.RecordBatch.from_arrays([pa.array([u[0] for u in used], pa.int32()), pa.array([row["block"][0].as_py()] * len(used), pa.int64()), pa.array([pack_sorted(cells[p]) for p in parts], pa.binary()), pa.array([_planes(counts[p]) for p in parts], pa.binary())], _names(_ASK))
 
         replies = self.blocks.mapInArrow(asks, _ASK).groupBy("shard").applyInPandas(_count, _REPLY)
-        replies = replies.groupBy("block").agg(F.collect_list(F.struct("shard", "codes")).alias("replies"))  # no more than the block asked for
+        parts = partitions_for(self.spark, 2 * whole)
+        replies = replies.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("shard", "codes")).alias("replies"))  # no more than the block asked for
 
         def pick(batches):
             for row in _rows(batches):
@@ -251,14 +250,16 @@ class _Join:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], _names(_CAND))
 
-        found = self.blocks.join(replies, "block").mapInArrow(pick, _CAND)
+        found = self.blocks.repartition(parts, "block").join(replies, "block").mapInArrow(pick, _CAND)
         out = self.scratch.write("candidates", found.withColumn("rid", F.monotonically_increasing_id()))
         self.scratch.drop("blocks")
         return out
 
-    def verified(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those that link."""
-        p = self.percent
+    def verified(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """Of pairs (a, b) those that link. Texts travel only of nodes that pairs name."""
+        p, s = self.percent, self.scratch
+        named = s.write(f"{name}-named", pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        nodes = nodes.join(named, "node", "left_semi")
         side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "elements")])
         full = pairs.join(side("b"), "b").join(side("a"), "a").filter(f"least(n_a, n_b) * 100 >= {p} * greatest(n_a, n_b)")
 
@@ -331,41 +332,78 @@ class _Join:
         posts = s.write("posts", posts.select(F.col("rid").alias("node"), "n", F.explode("keys").alias("key")))
         tiles = posts.groupBy("key", band.alias("band")).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         first = posts.withColumn("band", band).join(tiles, ["key", "band"]).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).filter("a <> b")
-        links = s.write("links-0", self.verified(first.select("a", "b"), nodes))
+        first = s.write("pairs-0", first.select("a", "b"))
+        links = s.write("links-0", self.verified(first, nodes, "pairs-0"))
         labels = components(s, links, "cc0")
+        s.drop("pairs-0", "pairs-0-named")
         rest = posts
         for k, every in enumerate((False, True), 1):
             rest = rest.select("node", "n", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
             sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
             open_ = sizes.groupBy("key").agg(F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("few"), F.max_by("label", F.struct("m", "label")).alias("major")).filter("few > 0")
             rest = s.write(f"rest-{k}", rest.join(open_, "key"))
+            if rest.isEmpty():  # all tiles are done
+                break
             pairs = s.write(f"pairs-{k}", self.candidates_in(self.blocks_of(rest, nodes), every))
-            found = self.verified(pairs, nodes)
+            found = self.verified(pairs, nodes, f"pairs-{k}")
             links = s.write(f"links-{k}", links.unionByName(found))
             labels = components(s, links, f"cc{k}")
+            s.drop(f"pairs-{k}", f"pairs-{k}-named", f"links-{k - 1}", f"cc{k - 1}")
+        s.drop("posts", "rest-1", "rest-2", "candidates")
         return links, names, labels
 
 
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[Scratch, DataFrame, DataFrame]:
+    """The scratch tables; a row per row of docs (doc_id, t, n, s1, s2); and one per distinct set: s1, s2, c (its component's least id), first (of its component's rows), n_verified."""
+    with batch_bytes(docs.sparkSession, 16 << 20):  # blocks are large rows
+        run = _Join(docs, id_col, text_col, words, percent)
+        s, sets = run.scratch, run.sets()
+        links, names, labels = run.links(run.candidates())
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
+        row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")  # ids first, then null ones
+        least = s.write("least", sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min(row).alias("first")))
+        linked = s.write("linked", least.join(names, ["s1", "s2"]).join(labels, "node").join(ends, "node"))
+        comp = linked.groupBy("label").agg(F.min("least").alias("c"), F.min("first").alias("f"))
+        linked = linked.join(comp, "label").select("s1", "s2", "c", "f", "n_verified")
+        by_set = least.join(linked, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("c", "least").alias("c"), F.coalesce("f", "first").alias("first"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+        by_set = s.write("by_set", by_set)
+        s.drop("least", "linked", "nodes", *(f"{x}{k}" for x in ("links-", "cc") for k in range(3)))
+    return s, sets, by_set
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, n_links (links that were verified with its set; a spanning part of all)."""
-    run = _Join(docs, id_col, text_col, words, percent)
-    s = run.scratch
-    sets = run.sets()
-    links, names, labels = run.links(run.candidates())
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    least = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
-    linked = least.join(names, ["s1", "s2"]).join(labels, "node").join(ends, "node")
-    linked = s.write("linked", linked)
-    comp = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = linked.join(comp, "label").select("s1", "s2", F.col("component_id").alias("c"), "n_links")
-    by_set = s.write("by_set", least.join(linked, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("c", "least").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    out = sets.filter("n > 0").join(by_set, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), "n_links")
-    none = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    """Per document: doc_id, n_shingles, component_id, n_verified.
+
+    n_verified: links of its set that were compared exactly, enough to span the component; not all links within it are."""
+    _, sets, by_set = _joined(docs, id_col, text_col, words, percent)
+    out = sets.filter("n > 0").join(by_set, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), "n_verified")
+    none = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_verified"))
     return out.unionByName(none)
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, and all rows without words, which link with nothing.
+
+    The row with the least id stays, one without an id only where none has any; of rows of one id the one whose text has the
+    least hash, of rows of one id and text the one whose columns have. Only what says which rows go meets docs; texts are
+    not shuffled as long as that is small enough to be sent to all tasks."""
+    s, sets, by_set = _joined(docs, id_col, text_col, words, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t") == F.col("first")
+    rows = sets.filter("n > 0").join(by_set, ["s1", "s2"]).groupBy("doc_id", "t").agg(F.first(first).alias("stays"), F.count(F.lit(1)).alias("m"))
+    marked = s.write("marked", rows.filter("not stays or m > 1").select(F.col("doc_id").alias("_i"), F.col("t").alias("_m"), "stays"))
+    s.drop("sets", "by_set")
+    whole = pack(docs).withColumn("_h", F.xxhash64(F.col(f"_row.`{text_col}`")))
+    on: Column = F.col(f"_row.`{id_col}`").cast("long").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_m"))
+    out = whole.join(marked, on, "left_anti").select("_row.*")
+    again = marked.filter("stays")
+    if again.isEmpty():  # no row to choose among equal ones: docs need not be read twice
+        return out
+    least = F.min_by("_row", F.xxhash64(*[F.col(f"_row.`{c}`") for c in docs.columns])).alias("_row")
+    return out.unionByName(whole.join(again, on).groupBy("_i", "_m").agg(least).select("_row.*"))
+
+
 def op8_jaccard_join(spark, sf_dir):
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("n_links")  # SQL has no such spanning part
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("n_verified")  # SQL has no such spanning part
 
 
 SQL = f"""
