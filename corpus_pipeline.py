@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, table
 from lodestone.llm.crf_langid import UNDETERMINED, identify
-from lodestone.llm.jaccard_join import jaccard_components
+from lodestone.llm.jaccard_join import one_of_each
 from lodestone.llm.line_spread import remove_spread_lines
 from lodestone.llm.packing import best_fit
 from lodestone.llm.poisson_mix import mix
@@ -34,12 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id; documents without an id stay, repeated rows of one id and text become one."""
-    groups = Scratch(spark).write("groups", jaccard_components(docs.select("doc_id", "text")).select("doc_id", "component_id"))
-    kept = groups.filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(*COLUMNS)
-    repeated = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """One document of each group of linked ones, whatever their ids: see one_of_each. Documents without words stay."""
+    return one_of_each(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
