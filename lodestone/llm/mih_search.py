@@ -9,9 +9,9 @@ inner product of the original vectors in double precision. The radius is learned
 sampled queries find RECALL of their true neighbours in the sample; a query that finds fewer than k goes on with a
 larger radius until it has k or has seen all.
 
-The index is cut into blocks of a bounded number of rows and the queries into chunks; each chunk meets each block (a
-stated query set against all rows), so a vector that a third of all rows share makes no large bucket for one task,
-and the best k of the blocks are merged.
+The index is cut into blocks of a bounded number of rows, dealt by a hash of id and vector, so a vector that a third of all
+rows share makes no large bucket for one task. The queries alone are copied, one to each block (a stated query set against
+all rows); a task indexes a block and streams the queries past it. The best k of the blocks are merged, FAN blocks at a time.
 
 Vectors near a uniform distribution have neighbours hardly nearer than the rest: there the learned radius covers a
 large part of all codes. Measured recall and the share of rows that are reranked are in the README.
@@ -29,20 +29,21 @@ import functools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, first_by_hash, ship, table
+from .common import Scratch, first_by_hash, partitions, ship, table
 
 K, QUERY_MOD = 20, 20
 BITS, SUB = 64, 16
 FIT, CALIBRATE, RECALL = 8192, 256, 0.92
-BLOCK_ROWS, CHUNK_ROWS = 32768, 2048
+BLOCK_ROWS = 32768
+#: Blocks whose lists are merged at a time.
+FAN = 64
 
 OUT = "query_id long, rank int, vec_id long, score double"
-FOUND = "ask long, query_id long, vec_id long, score double"
+FOUND = "ask long, query_id long, block int, vec_id long, score double"
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -164,31 +165,43 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     # an ask is a distinct (id, vector) with a key of its own, by which the blocks' lists are merged
     asks = scratch.write("asks", v.filter(F.col("id") % query_mod == 0).distinct().withColumn("ask", F.monotonically_increasing_id()))
-    blocks, chunks = math.ceil(n / BLOCK_ROWS), max(1, math.ceil(asks.count() / CHUNK_ROWS))
-    pair = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    rows = v.withColumn("block", F.pmod(h, F.lit(blocks)).cast("int")).withColumn("chunk", pair).withColumn("query", F.lit(False)).withColumn("ask", F.lit(-1).cast("long"))
-    asks = asks.withColumn("chunk", F.pmod(F.xxhash64("ask"), F.lit(chunks)).cast("int"))
+    blocks = math.ceil(n / BLOCK_ROWS)
+    rows = v.withColumn("block", F.pmod(h, F.lit(blocks)).cast("int")).withColumn("query", F.lit(False)).withColumn("ask", F.lit(-1).cast("long"))
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("query", F.lit(True))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_list())
-        ids, is_query = pdf["id"].to_numpy(), pdf["query"].to_numpy()
-        q, qids, keys = x[is_query], ids[is_query], pdf["ask"].to_numpy()[is_query]
-        x, ids = x[~is_query], ids[~is_query]
-        out = []
-        if len(x) and len(q):
-            index, codes = Index(encode(x, model)), encode(q, model)
-            for i in range(len(q)):
-                found, score = top(index, ids, x, qids[i], q[i], codes[i], k, radius)
-                out.append((np.full(len(found), keys[i]), np.full(len(found), qids[i]), found, score))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame(dict(zip(("ask", "query_id", "vec_id", "score"), cols)))
-
-    names = ("block", "chunk", "query", "ask", "id", "v")
-    found = rows.select(*names).unionByName(asks.select(*names)).groupBy("block", "chunk").applyInPandas(search, FOUND)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)  # no more than k of each block
-    best = found.groupBy("ask", "query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("pos", "x"))
-    return best.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
+    def search(batches):
+        now, held, index = None, [], None
+        for batch in batches:
+            block, query = (batch[c].to_numpy(zero_copy_only=False) for c in ("block", "query"))
+            ids, keys = batch["id"].to_numpy(), batch["ask"].to_numpy()
+            vectors = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (query[1:] != query[:-1]), [True]]))
+            for a, b in zip(edges[:-1], edges[1:]):  # a block's rows come first, in one batch or more, then all asks
+                if not query[a]:
+                    if now != block[a]:
+                        now, held, index = block[a], [], None
+                    held.append((ids[a:b], vectors[a:b]))
+                elif now == block[a]:
+                    if index is None:
+                        of, x = (np.concatenate(c) for c in zip(*held))
+                        held, index = [], Index(encode(x, model))
+                    codes = encode(vectors[a:b], model)
+                    out = [top(index, of, x, ids[a + i], vectors[a + i], codes[i], k, radius) for i in range(b - a)]
+                    size = [len(f) for f, _ in out]
+                    cols = [np.repeat(keys[a:b], size), np.repeat(ids[a:b], size), np.full(sum(size), now), *(np.concatenate(c) for c in zip(*out))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()))], [f.split()[0] for f in FOUND.split(", ")])
+
+    names = ("block", "query", "ask", "id", "v")
+    both = rows.select(*names).unionByName(asks.select(*names)).repartition(partitions(spark, blocks), "block").sortWithinPartitions("block", "query")
+    found = both.mapInArrow(search, FOUND)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+    while True:  # FAN lists of k at a time, so what is merged in one place does not grow with the number of blocks
+        blocks = math.ceil(blocks / FAN)
+        merged = found.withColumn("block", (F.col("block") / FAN).cast("int")).groupBy("ask", "query_id", "block").agg(best.alias("b"))
+        if blocks == 1:
+            break
+        found = merged.select("ask", "query_id", "block", F.explode("b").alias("x")).select("ask", "query_id", "block", "x.vec_id", (-F.col("x.s")).alias("score"))
+    return merged.select("query_id", F.posexplode("b").alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
 
 
 def op10_mih_search(spark, sf_dir):

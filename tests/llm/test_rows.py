@@ -3,6 +3,7 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from test_corpus_ops import ODD, SF, brute_jaccard, docs  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from lodestone.llm import common, jaccard_join, line_spread, poisson_mix  # noqa: E402
+from lodestone.llm import common, jaccard_join, line_spread, mih_search, poisson_mix  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -103,3 +104,22 @@ def test_arrow_setting_is_as_it_was(spark):
         assert spark.conf.get(name) == str(1 << 20)
     jaccard_join.jaccard_components(docs(spark, *ODD)).count()
     assert spark.conf.get(name) == before
+
+
+def test_search_over_many_blocks(spark, monkeypatch):
+    """Blocks of few rows, lists merged in several steps; the queries are copied to the blocks, the rows are not."""
+    monkeypatch.setattr(mih_search, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(mih_search, "FAN", 2)
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in v.collect()}
+    got = {}
+    for r in mih_search.nearest(v).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    for q in (i for i in rows if i % 20 == 0):
+        best = sorted((-float(rows[i] @ rows[q]), i) for i in rows if i != q)[:20]
+        found = sorted(got[q])
+        assert [x[0] for x in found] == list(range(1, 21))
+        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        hit += len({i for _, i, _ in found} & {i for _, i in best})
+    assert hit >= 0.9 * 20 * len(got)
