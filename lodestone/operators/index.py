@@ -343,13 +343,13 @@ class Index:
         manifests = self.store.manifests()
         described, size, gets = [], sum(r.size or 0 for r in per_file), len(per_file)
         if pages and not opts.covering_only:
-            size = gets = 0
+            size, gets, sizes = 0, 0, {r.file_path: r.size for r in per_file}
             for r in found.filter("_keep").groupBy("file_path").agg(F.flatten(F.collect_list("row_numbers")).alias("rows")).orderBy("file_path").toLocalIterator():
                 at = page_locations(self.spark, readable(r.file_path), r.rows, list(opts.columns) if opts.columns else None)
                 ranges = coalesce_ranges([(p["offset"], p["offset"] + p["size"]) for p in at])
                 described += [{"file": r.file_path, **p} for p in at]
-                size += sum(b - a for a, b in ranges)
-                gets += len(ranges)
+                size += sum(b - a for a, b in ranges) if at else sizes.get(r.file_path) or 0  # no page index: the whole file
+                gets += len(ranges) or 1
         return {
             "key": key,
             "bucket": bucket_of(key, manifests[0]["num_buckets"]) if manifests else None,
