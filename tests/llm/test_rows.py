@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from test_corpus_ops import ODD, SF, brute_jaccard, docs  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from lodestone.llm import common, jaccard_join, line_spread, mih_search, poisson_mix  # noqa: E402
+from lodestone.llm import common, html_blocks, jaccard_join, line_spread, mih_search, poisson_mix  # noqa: E402
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -123,3 +123,23 @@ def test_search_over_many_blocks(spark, monkeypatch):
         assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
         hit += len({i for _, i, _ in found} & {i for _, i in best})
     assert hit >= 0.9 * 20 * len(got)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p title=don't>Hello world one.</p><p>It's fine here.</p></article>", ["Hello world one.", "It's fine here."]),
+        ("<p title='a>b'>x</p><p title = \"it's > that\">y</p>", ["x", "y"]),
+        ('<p title="never closed>one</p><p>two</p>', ["one", "two"]),
+        ("<p \"odd'>r</p><p>s's</p>", ["r", "s's"]),
+        ("<a href=/x/>l</a><br/><img src=x/>m", ["l m"]),
+        ("<p a==b>w</p><p =>z</p>", ["w", "z"]),
+    ],
+)
+def test_quotes_open_a_value_only_after_an_equals_sign(page, want):
+    assert [b.text for b in html_blocks.blocks(page)] == want
+
+
+def test_attributes_that_name_a_block():
+    (b,) = html_blocks.blocks("<div class=a id='b c' data-class=\"zz\" title=\"class=zzz\">t</div>")
+    assert b.path == ("div a b c",)
