@@ -18,9 +18,11 @@ def get_spark(cpus: int | str = "*", partitions: int = 8, memory: str = "8g", **
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see: under spark.checkpoint.dir; only where that is unset, as in tests, in a temporary folder."""
+    """A new folder that the driver and all executors see: under spark.checkpoint.dir; only on a local master, as in tests, in a temporary folder where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
