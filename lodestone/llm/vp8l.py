@@ -1,11 +1,15 @@
 """Lossless WebP (VP8L), from the public bitstream specification: a full decoder and an encoder, in numpy.
 
 decode() reads any VP8L stream: prefix codes (simple and normal), meta prefix images, back-references, colour
-cache, and the inverse predictor, cross-colour, subtract-green and palette transforms. Streams of literals
-alone, one prefix group, are decoded without a loop per bit: code lengths are looked up at all bit positions at
-once, and a short chain of jumps over four codes each gives where the codes begin.
-
-encode() writes literals by default; its options write what the tests need to exercise the decoder.
+cache, and the inverse predictor, cross-colour, subtract-green and palette transforms. Where only green takes
+bits (one prefix group, no cache), streams are decoded without a loop per bit: code lengths are looked up at all
+bit positions at once, and a short chain of jumps over up to four literals each gives where the codes begin; a
+jump ends at a back-reference, which is read by itself.
+
+encode_grey() writes 8-bit samples and stores the smallest of literals, literals with back-references, and, for
+16 values at most, the palette transform with packed pixels. The rest of the format can't shorten such images:
+with red, blue and alpha fixed, a hit in the colour cache costs a code as a literal does, and the cross-colour
+and subtract-green transforms have nothing to remove. encode() writes any image with what its caller asks for.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ MAX_SIDE = 1 << 14
 #: Order in which the lengths of the code length code are stored (fixed values of the format).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS, GREEN, PALETTE = 0, 1, 2, 3
+NAMES = ("predictor", "cross-colour", "subtract-green", "palette")
+#: Bytes that must be equal for a back-reference, its greatest length and greatest distance (the last two of the format).
+LEAST_COPY, MOST_COPY, FARTHEST = 24, 4096, (1 << 20) - 120
 HASH = 0x1E35A7BD
 #: Distance codes 1 to 120 name near pixels (x left, y up), by distance, then by |x|, right of it first.
 NEAR = sorted([(x, y) for y in range(8) for x in range(-7, 9) if (y > 0 or x > 0)], key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
@@ -244,11 +251,13 @@ def write_code(w: Writer, lengths: np.ndarray, counts: np.ndarray) -> None:
 # ---- pixels
 
 
-def _literals(r: Reader, group: list[Code], n: int) -> np.ndarray:
-    """n pixels of literals alone, one prefix group, of which only green takes bits."""
+def _greens(r: Reader, group: list[Code], n: int, width: int, info: dict) -> np.ndarray:
+    """n pixels of one prefix group without cache, of which only green and back-references take bits."""
     g = group[0]
     rest = (group[3].only << 24) | (group[1].only << 16) | group[2].only
     if g.only is not None:
+        if g.only > 255:
+            raise ValueError("bad back-reference")
         return np.full(n, rest | g.only << 8, np.uint32)
     b = np.frombuffer(r.data, np.uint8, offset=r.pos >> 3)
     v = np.zeros(len(b) + 26, np.uint32)
@@ -260,20 +269,48 @@ def _literals(r: Reader, group: list[Code], n: int) -> np.ndarray:
     for k in range(8):
         at[:, k] = (v[:-2] >> np.uint32(k)) & mask
     at = at.ravel()
-    one = g.len.take(at)
+    literal = np.where(g.sym < 256, g.len, 0).astype(np.uint8)  # a back-reference takes no step
+    one = literal.take(at)
     m -= 64
     where = np.arange(m, dtype=np.int32 if m < 1 << 30 else np.int64)
     two = one[:m] + one.take(where + one[:m])
     m -= 32
     four = (two[:m] + two.take(where[:m] + two[:m])).tobytes()
-    p, starts = r.pos & 7, []
+    base, p, starts, refs, total, literals = r.pos & ~7, r.pos & 7, [], [], 0, 0
     add = starts.append
     try:
-        for _ in range((n + 3) >> 2):
-            add(p)
-            p += four[p]
+        while total < n:
+            steps = len(starts)
+            for _ in range((n - total + 3) >> 2):
+                d = four[p]
+                if not d:
+                    break
+                add(p)
+                p += d
+            if len(starts) > steps:
+                last, q = 0, starts[-1]
+                while last < 4 and one[q]:
+                    q += int(one[q])
+                    last += 1
+                more = 4 * (len(starts) - steps - 1) + last
+                total += more
+                literals += more
+                if total >= n:
+                    break
+            r.pos = base + p
+            s = g.read(r)
+            if s < 256:
+                raise ValueError("the stream ends too early")
+            length = _value(r, s - 256)
+            d = _distance(r, group[4], width)
+            if d > total or total + length > n or r.pos > 8 * len(r.data):
+                raise ValueError("bad back-reference")
+            refs.append((total, length, d))
+            total += length
+            p = r.pos - base
     except IndexError:
         raise ValueError("the stream ends too early") from None
+    need = n - sum(x[1] for x in refs)
     first = np.array(starts, np.int64)
     at_ = np.empty((len(first), 4), np.int64)
     at_[:, 0] = first
@@ -281,12 +318,26 @@ def _literals(r: Reader, group: list[Code], n: int) -> np.ndarray:
     third = first + two[first]
     at_[:, 2] = third
     at_[:, 3] = third + one[third]
-    at_ = at_.ravel()[:n]
-    end = int(at_[-1]) + int(one[at_[-1]])
-    r.pos = (r.pos & ~7) + end
+    at_ = at_.ravel()
+    if refs:
+        at_ = at_[one[at_] > 0]
+    at_ = at_[:need]
+    if not refs or refs[-1][0] + refs[-1][1] < n:
+        p = int(at_[-1]) + int(one[at_[-1]])
+    r.pos = base + p
     if r.pos > 8 * len(r.data):
         raise ValueError("the stream ends too early")
-    return np.uint32(rest) | g.sym[at[at_]].astype(np.uint32) << np.uint32(8)
+    green = g.sym[at[at_]].astype(np.uint8)
+    if refs:
+        info["copies"] = info.get("copies", 0) + len(refs)
+        lits, green, done, i = green, np.empty(n, np.uint8), 0, 0
+        for start, length, d in refs:
+            green[i:start] = lits[done : done + start - i]
+            done += start - i
+            i = start + length
+            green[start:i] = green[start - d : i - d] if length <= d else np.resize(green[start - d : start], length)
+        green[i:] = lits[done:]
+    return np.uint32(rest) | green.astype(np.uint32) << np.uint32(8)
 
 
 def _value(r: Reader, prefix: int) -> int:
@@ -296,8 +347,17 @@ def _value(r: Reader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + r.read(extra) + 1
 
 
-def read_image(r: Reader, width: int, height: int, main: bool = False) -> np.ndarray:
-    """An entropy-coded image as a flat array of ARGB."""
+def _distance(r: Reader, code: Code, width: int) -> int:
+    d = _value(r, code.read(r))
+    if d > 120:
+        return d - 120
+    x, y = NEAR[d - 1]
+    return max(1, x + y * width)
+
+
+def read_image(r: Reader, width: int, height: int, main: bool = False, info: dict | None = None) -> np.ndarray:
+    """An entropy-coded image as a flat array of ARGB. info counts what the stream used."""
+    info = {} if info is None else info
     cache_bits = r.read(4) if r.read(1) else 0
     if cache_bits > 11:
         raise ValueError("bad colour cache")
@@ -311,8 +371,8 @@ def read_image(r: Reader, width: int, height: int, main: bool = False) -> np.nda
     sizes = (280 + cache_size, 256, 256, 256, 40)
     code = [[read_code(r, s) for s in sizes] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and code[0][0].top < 256 and all(c.only is not None for c in code[0][1:4]):
-        return _literals(r, code[0], n)
+    if groups == 1 and not cache_bits and all(c.only is not None for c in code[0][1:4]):
+        return _greens(r, code[0], n, width, info)
     out, cache, todo = [0] * n, [0] * cache_size, 0
     i = 0
     g = code[0]
@@ -326,20 +386,17 @@ def read_image(r: Reader, width: int, height: int, main: bool = False) -> np.nda
             i += 1
         elif s < 280:
             length = _value(r, s - 256)
-            d = _value(r, g[4].read(r))
-            if d > 120:
-                d -= 120
-            else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * width)
+            d = _distance(r, g[4], width)
             if d > i or i + length > n:
                 raise ValueError("bad back-reference")
+            info["copies"] = info.get("copies", 0) + 1
             for k in range(i, i + length):
                 out[k] = out[k - d]
             i += length
         else:
             out[i] = cache[s - 280]
             i += 1
+            info["cached"] = info.get("cached", 0) + 1
         if cache_size:
             for k in range(todo, i):
                 cache[(HASH * out[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[k]
@@ -447,9 +504,13 @@ def _unpalette(px: np.ndarray, colours: np.ndarray, width: int, height: int) ->
     return all_[index].ravel()
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels (height, width) as ARGB. Raises ValueError for what is not a valid stream."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
+def decode(data: bytes, info: dict | None = None) -> np.ndarray:
+    """The pixels (height, width) as ARGB. Raises ValueError for what is not a valid stream.
+
+    info, if given, takes what the stream used: transforms (a list of names), and the numbers of copies and of
+    cached pixels in the main image where there are any.
+    """
+    if len(data) < 20 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     size = struct.unpack("<I", data[16:20])[0]
     r = Reader(data[20 : 20 + size])
@@ -475,7 +536,9 @@ def decode(data: bytes) -> np.ndarray:
             table = _split(read_image(r, n, 1))
             undo.append((kind, w, 0, _join(*[np.cumsum(c) for c in table])))
             w = -(-w >> _packing(n))
-    px = read_image(r, w, height, main=True)
+    if info is not None:
+        info["transforms"] = [NAMES[x[0]] for x in undo]
+    px = read_image(r, w, height, main=True, info=info)
     for kind, w, bits, by in reversed(undo):
         if kind == PREDICTOR:
             px = _predicted(px, (by >> 8) & 15, bits, w, height, False)
@@ -618,28 +681,97 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copi
     return _file(w.bytes())
 
 
-def encode_grey(samples: np.ndarray) -> bytes:
-    """8-bit samples (height, width) in the green channel, opaque, as literals; no loop over pixels."""
-    height, width = samples.shape
-    flat = samples.ravel()
-    w = Writer()
-    _header(w, width, height)
-    w.put(0, 3)  # no transform, colour cache or meta image
-    counts = np.bincount(flat, minlength=280)
-    ls = code_lengths(counts)
+def find_copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references (start, length, distance) in order, none overlapping, for repeats of LEAST_COPY bytes or more.
+
+    One position in eight, chosen by a hash of the 8 bytes there, is an anchor. Anchors with equal 24 bytes are found by one
+    sort; each refers to the one before it, and the match is extended both ways. All of the samples are searched.
+    """
+    n = len(flat)
+    if n < 2 * LEAST_COPY:
+        return []
+    v = flat.astype(np.uint64)
+    for k in (1, 2, 4):
+        v = v[:-k] | v[k:] << np.uint64(8 * k)
+    hashed = v * np.uint64(0x9E3779B97F4A7C15)
+    at = np.flatnonzero(hashed[: n - LEAST_COPY + 1] < np.uint64(1 << 61))
+    if len(at) < 2:
+        return []
+    key = hashed[at] ^ (hashed[at + 8] >> np.uint64(7)) ^ (hashed[at + 16] << np.uint64(9))
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return []
+    to, of = at[order[same + 1]], at[order[same]]
+    ok = (v[to] == v[of]) & (v[to + 8] == v[of + 8]) & (v[to + 16] == v[of + 16]) & (to - of <= FARTHEST)
+    to, of = to[ok], of[ok]
+    rank = np.argsort(to)
+    out, end = [], 0
+    for i, j in zip(to[rank].tolist(), of[rank].tolist()):
+        if i + LEAST_COPY <= end:
+            continue
+        d = i - j
+        i = max(i, end)
+        k = min(i - end, i - d, MOST_COPY)  # backwards, at most to where the last copy ended
+        if k:
+            differ = np.flatnonzero(flat[i - k : i] != flat[i - k - d : i - d])
+            i -= k - int(differ[-1]) - 1 if len(differ) else k
+        k = min(MOST_COPY, n - i)
+        differ = flat[i : i + k] != flat[i - d : i - d + k]
+        first = int(differ.argmax())
+        k = first if differ[first] else k
+        if k >= LEAST_COPY:
+            out.append((i, k, d))
+            end = i + k
+    return out
+
+
+@functools.lru_cache(16)
+def _near(width: int) -> dict[int, int]:
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+def _write_greens(w: Writer, flat: np.ndarray, width: int, refs: list[tuple[int, int, int]]) -> bytes:
+    """What w holds and then flat as the main image's green channel, opaque, with back-references; no loop over pixels."""
+    w.put(0, 2)  # no colour cache or meta image
+    literal = flat
+    if refs:
+        start, length, _ = np.array(refs).T
+        step = np.zeros(len(flat) + 1, np.int64)
+        step[start] += 1
+        step[start + length] -= 1
+        here = np.flatnonzero(np.cumsum(step[:-1]) == 0)
+        literal = flat[here]
+    near = _near(width) if refs else {}
+    lengths = [_prefix(x[1]) for x in refs]
+    distances = [_prefix(near.get(x[2], x[2] + 120)) for x in refs]
+    counts = np.bincount(literal, minlength=280)
+    far = np.zeros(40, np.int64)
+    for a, b in zip(lengths, distances):
+        counts[256 + a[0]] += 1
+        far[b[0]] += 1
+    ls, dl = code_lengths(counts), code_lengths(far)
     write_code(w, ls, counts)
-    for only in (0, 0, 255, 0):
+    for only in (0, 0, 255):
         w.put(0b101, 3)
         w.put(only, 8)
+    write_code(w, dl, far)
     head, at = w.bytes(), w.n
-    ln = ls[flat]
+    cs, ln = codes(ls).astype(np.uint64), ls[literal]
+    c = cs[literal]
+    if refs:
+        dc = codes(dl)
+        parts = [(ls[256 + a[0]], cs[256 + a[0]], a[1], a[2], dl[b[0]], dc[b[0]], b[1], b[2]) for a, b in zip(lengths, distances)]
+        parts = np.array([[int(x) for x in p] for p in parts], np.int64).reshape(-1, 2)
+        order = np.argsort(np.concatenate([here, np.repeat(start, 4)]), kind="stable")
+        ln = np.concatenate([ln, parts[:, 0]])[order]
+        c = np.concatenate([c, parts[:, 1].astype(np.uint64)])[order]
     end = np.cumsum(ln) + (at & 7)
     if not ln.any():
-        return _file(head)
+        return head
     off = end - ln
-    c = codes(ls).astype(np.uint64)[flat]
     word = off >> 5
-    c <<= (off & 31).astype(np.uint64)  # under 44 bits
+    c <<= (off & 31).astype(np.uint64)  # under 50 bits
     new = np.empty(len(word), bool)
     new[0] = True
     np.not_equal(word[1:], word[:-1], out=new[1:])
@@ -652,4 +784,45 @@ def encode_grey(samples: np.ndarray) -> bytes:
     if at & 7:
         body[0] |= head[-1]
         head = head[:-1]
-    return _file(head + bytes(body))
+    return head + bytes(body)
+
+
+def encode_grey(samples: np.ndarray) -> bytes:
+    """8-bit samples (height, width) in the green channel, opaque: the smallest of literals, back-references and a palette.
+
+    Of equal sizes the first in this order is taken, so equal samples give equal bytes.
+    """
+    height, width = samples.shape
+    flat = samples.ravel()
+
+    def start() -> Writer:
+        w = Writer()
+        _header(w, width, height)
+        return w
+
+    def plain(refs):
+        w = start()
+        w.put(0, 1)  # no transform
+        return _write_greens(w, flat, width, refs)
+
+    best = plain([])
+    if refs := find_copies(flat):
+        best = min(best, plain(refs), key=len)
+    used = np.flatnonzero(np.bincount(flat, minlength=256))
+    if 1 < len(used) <= 16:
+        rank = np.zeros(256, np.uint8)
+        rank[used] = np.arange(len(used))
+        bits = _packing(len(used))
+        index = np.pad(rank[samples], ((0, 0), (0, -width % (1 << bits)))).reshape(height, -1, 1 << bits)
+        index = np.bitwise_or.reduce(index << (np.arange(1 << bits, dtype=np.uint8) * np.uint8(8 >> bits)), axis=2)
+        w = start()
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(used) - 1, 8)
+        deltas = np.diff(used, prepend=0).astype(np.uint32) << np.uint32(8)
+        deltas[0] |= np.uint32(0xFF000000)
+        write_image(w, deltas, len(used))
+        w.put(0, 1)
+        packed = index.ravel()
+        best = min(best, _write_greens(w, packed, index.shape[1], find_copies(packed)), key=len)
+    return _file(best)

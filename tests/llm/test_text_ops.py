@@ -181,6 +181,60 @@ def test_vp8l_known_bytes():
             vp8l.decode(bad)
 
 
+def test_vp8l_streams_by_hand():
+    """Written bit by bit from the format's description, not by this module's encoder."""
+
+    def stream(width, height, *parts):
+        w = vp8l.Writer()
+        for value, n in [(0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3), *parts]:
+            w.put(value, n)
+        return vp8l._file(w.bytes())
+
+    one = lambda s: [(0b101, 3), (s, 8)]
+    # symbols 65 and 259 (a length of 4) of one bit each, by length codes for 1 and runs of 11 and more zeros
+    green = [(0, 1), (0, 4), (0, 3), (1, 3), (0, 3), (1, 3), (0, 1), (1, 1), (54, 7), (0, 1), (1, 1), (127, 7), (1, 1), (44, 7), (0, 1), (1, 1), (9, 7)]
+    copied = stream(5, 1, (0, 3), *green, *one(7), *one(9), *one(255), *one(1), (0, 1), (1, 1))
+    info = {}
+    assert vp8l.decode(copied, info).tolist() == [[0xFF074109] * 5] and info == {"transforms": [], "copies": 1}
+    modes = [(0, 1), *one(2), *one(0), *one(0), *one(255), *one(0)]  # 2: the pixel above
+    above = stream(3, 2, (1, 1), (0, 2), (0, 3), *modes, (0, 1), (0, 2), *one(1), *one(0), *one(0), *one(0), *one(0))
+    assert vp8l.decode(above).tolist() == [[0xFF000100, 0xFF000200, 0xFF000300], [0xFF000200, 0xFF000300, 0xFF000400]]
+    added = stream(2, 1, (1, 1), (2, 2), (0, 1), (0, 2), *one(10), *one(250), *one(1), *one(255), *one(0))
+    assert vp8l.decode(added).tolist() == [[0xFF040A0B] * 2]  # subtract-green
+
+
+def test_media_is_stored_by_what_is_smallest():
+    """Copies where passages repeat, a palette for few values, literals else; all read back whole, ties settled for good."""
+    rng = np.random.default_rng(5)
+    unlike = rng.integers(0, 256, 3000).astype(np.uint8).tobytes()
+    cases = {"literals": unlike, "copies": unlike * 3, "palette": b"".join(rng.choice([b"ab", b"ba"], 2000, p=[0.9, 0.1]))}
+    for name, text in cases.items():
+        media, info = webp_media.store(text), {}
+        assert media == webp_media.store(text) and webp_media.load(media).tobytes()[: len(text)] == text
+        vp8l.decode(media, info)
+        assert webp_media.coding(info).startswith(name) and len(media) < len(text) + 400
+    assert len(webp_media.store(unlike * 3)) < 1.1 * len(webp_media.store(unlike))
+    for _ in range(60):
+        a = rng.integers(0, rng.choice([2, 5, 17, 256]), rng.integers(1, 900)).astype(np.uint8)
+        text = np.concatenate([a[rng.integers(0, len(a)) :] for _ in range(rng.integers(1, 9))]).tobytes()
+        assert webp_media.load(webp_media.store(text)).tobytes()[: len(text)] == text
+
+
+def test_read_media(spark):
+    """Any lossless file of a column becomes its pixels; null and broken files give nulls; other columns stay, clashing ones go."""
+    px = np.arange(12, dtype=np.uint32).reshape(3, 4) * np.uint32(0x01020304)
+    grey = webp_media.store(b"hello")
+    rows = [(1, vp8l.encode(px, (("predictor", 2, [3]), ("green",)), 4, True), "x"), (None, None, None), (3, b"RIFF", "y"), (3, grey, "y")]
+    df = spark.createDataFrame(rows, "width long, file binary, `a.b` string")
+    out = webp_media.read_media(df, "file").collect()
+    assert [(r.width, r.height, r["a.b"]) for r in out] == [(4, 3, "x"), (None, None, None), (None, None, "y"), (64, 1, "y")]
+    assert np.frombuffer(out[0].pixels, "<u4").reshape(3, 4).tolist() == px.tolist()
+    assert set(out[0].coding.split(",")) >= {"predictor", "subtract-green"} and out[1].pixels is None and out[2].coding is None
+    alone = webp_media.read_media(df, "file", grey=True).collect()[3]
+    assert bytes(alone.pixels) == b"hello".ljust(64, b"\0") and alone.coding == "copies=1"  # of the zeros
+    assert webp_media.read_media(df.limit(0), "file").count() == 0
+
+
 def test_media_query(spark):
     rows = [(1, None), (2, ""), (3, "é" * 40), (3, "é" * 40), (None, "x" * 64), (5, "y" * 200_000)]
     out = webp_media.media_features(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_bytes")).collect()
