@@ -7,9 +7,9 @@ bit positions at once, and a short chain of jumps over up to four literals each
 jump ends at a back-reference, which is read by itself.
 
 encode_grey() writes 8-bit samples and stores the smallest of literals, literals with back-references, and, for
-16 values at most, the palette transform with packed pixels. The rest of the format can't shorten such images:
-with red, blue and alpha fixed, a hit in the colour cache costs a code as a literal does, and the cross-colour
-and subtract-green transforms have nothing to remove. encode() writes any image with what its caller asks for.
+16 values at most, the palette transform with packed pixels. With red, blue and alpha fixed, a hit in the colour
+cache costs a code as a literal does, and the cross-colour and subtract-green transforms have nothing to remove;
+the predictor and several prefix groups are not tried, as neighbouring bytes of text are not alike. encode() writes any image with what its caller asks for.
 """
 
 from __future__ import annotations

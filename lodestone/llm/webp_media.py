@@ -6,7 +6,7 @@ media_features() derives its digests from what read_media() reads out of the byt
 The payload is the UTF-8 text and zero bytes up to a positive multiple of 64. It is stored as 8-bit samples,
 64 to a row (a multiple of 64 for payloads over 1 MiB, with zero rows at the end where needed), in one VP8L
 image: by the smallest of literal prefix codes, prefix codes with back-references, and a palette. Colour cache,
-predictor and colour transforms can't shorten such images (see vp8l); read_media() inverts them in other files.
+predictor and colour transforms are not written (see vp8l for why); read_media() inverts them in other files.
 
 Defined cases: a null text counts as empty; equal texts give equal values; repeated rows and null ids give a
 row each; an empty table gives an empty result; extra columns are ignored by store_texts() and kept by read_media(), where
