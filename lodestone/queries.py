@@ -5,23 +5,27 @@ Indexes are built once per session and input folder, as an index is in use; the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import LodestoneError
 from .functions import covering as cov
 from .functions.keys import bucket_expr, key_text
-from .functions.times import millis
+from .functions.times import millis, parse_time_ms
 from .operators.index import Index, QueryOptions, entry_predicate, naive_scan
 from .operators.postings import apply_equality_deletes, apply_position_deletes, postings
 from .operators.secondary import Secondary, secondary_postings
 from .operators.sql_scope import run_sql
+from .plans.fs import Fs
 from .plans.liveness import last_wins, live_entries
 from .session import shared_folder
 from .sources import layouts
-from .sources.sinks import json_rows
-from .sources.snapshots import Snapshot, index_snapshot, snapshot_diff
+from .sources.sinks import json_rows, read_v1_fragment
+from .sources.snapshots import Snapshot, index_snapshot, index_table, snapshot_diff
+from .stress import percentile
 from .streaming.incremental import index_new_files
 
 _BUILT: dict[tuple, Index] = {}
@@ -242,6 +246,77 @@ def verify_rows(spark, sf_dir):
     return _events(spark, sf_dir).verify().select(name.alias("name"), "status")
 
 
+def lookup_order(spark, sf_dir):
+    """Rows with their place in the result: by time, file and row."""
+    return _events(spark, sf_dir).lookup("13").rows.select("event_id", F.monotonically_increasing_id().alias("at"))
+
+
+def lookup_alias(spark, sf_dir):
+    """A column asked for by the other name of the time column."""
+    index = _new(spark, "timestamp")
+    index.build(_layout(spark, sf_dir, "sorted"), ["user_id"])
+    rows = index.lookup("13", columns=["timestamp_ms", "duration_ms"]).rows
+    return rows.select(millis("timestamp", rows.schema["timestamp"].dataType).alias("ts_ms"), "duration_ms")
+
+
+def lookup_dedupe(spark, sf_dir):
+    """Two plain fragments of one file, of which the last entry of a key and file is read."""
+    index = _new(spark, "ts")
+    for _ in range(2):
+        index.build(f"{sf_dir}/events.parquet", ["user_id"], buckets=4)
+    return _plain_events(index.lookup("13", dedupe=True).rows)
+
+
+def lookup_totals(spark, sf_dir):
+    """What lookups say of the index: values, entries that predicates leave out, files touched."""
+    index, out = _events(spark, sf_dir), []
+    for name, opts in (("all", {}), ("late", {"since_ms": 4_000_000_000_000}), ("few", {"min_count": 1_000_000_000}), ("index", {"covering_only": True})):
+        t = index.lookup("13", **opts).metrics["totals"]
+        out.append((name, t["value_count"], t["skipped_by_predicate"], t["files_touched"]))
+    return spark.createDataFrame(out, "name string, value_count long, skipped long, files long")
+
+
+def explain_pages(spark, sf_dir):
+    """The rows of a key on a layout with small pages; whether its pages are less than a tenth of the file; whether ranges are no more than pages."""
+    index = _new(spark, "timestamp")
+    index.build(_layout(spark, sf_dir, "key_pages"), ["user_id"])
+    e = index.explain("13", pages=True)
+    size = index.store.files().filter("role = 'live'").agg(F.sum("file_size")).first()[0]
+    return spark.createDataFrame([(e["estimated_rows"], e["estimated_bytes"] < size / 10, 0 < e["estimated_range_gets"] <= len(e["page_descriptions"]))], "n_rows long, small boolean, ranged boolean")
+
+
+def lookup_changed_file(spark, sf_dir):
+    """A lookup before and after its file is another one."""
+    folder = shared_folder(spark, "changed")
+    _t(spark, sf_dir, "events").coalesce(1).write.parquet(folder)
+    index = _new(spark, "ts")
+    index.build(folder, ["user_id"])
+    out = [("before", str(index.lookup("13").rows.count()))]
+    for r in index.store.files().collect():
+        index.store.fs.delete(r.file_path)
+        index.store.fs.write(r.file_path, "another file")
+    try:
+        index.lookup("13")
+    except LodestoneError as e:
+        out.append(("after", e.code))
+    return spark.createDataFrame(out, "name string, found string")
+
+
+def time_arguments(spark, sf_dir):
+    """Milliseconds of times as a user writes them: whole days begin or end, others are points."""
+    texts = [(t, end) for t in _TIMES for end in (False, True)]
+    return spark.createDataFrame([(t, end, parse_time_ms(t, end)) for t, end in texts], "text string, end_of_day boolean, ms long")
+
+
+_TIMES = ["1704067200123", "-5", "2024-02-29", "1969-12-31", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.678+05:30", "1969-12-31T23:59:59.999Z"]
+
+
+def percentiles(spark, sf_dir):
+    """Percentiles of the nations' numbers, by nearest rank."""
+    values = [r[0] for r in _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("double")).collect()]
+    return spark.createDataFrame([(p, percentile(values, p)) for p in (0.0, 0.25, 0.5, 0.9, 0.99, 1.0)], "p double, value double")
+
+
 def full_scan(spark, sf_dir):
     return _plain_events(naive_scan(spark, f"{sf_dir}/events.parquet", ["user_id"], "13"))
 
@@ -312,6 +387,13 @@ def secondary_page(spark, sf_dir):
     return _plain_events(s.rows(s.lookup_exact("view"), offset=3, limit=7))
 
 
+def secondary_items(spark, sf_dir):
+    """A secondary index of a field of the items in a JSON payload: a value per item."""
+    index = _new(spark, "timestamp")
+    index.build(_layout(spark, sf_dir, "blob"), ["user_id"])
+    return _refs(Secondary(index, "track_uri").build(payload="payload").lookup_prefix(""))
+
+
 def _with_deletes(spark, sf_dir) -> Index:
     """Events without rows that a position delete of the real file names, and without those that equal a delete record."""
     ev = _t(spark, sf_dir, "events")
@@ -433,6 +515,101 @@ def snapshot_index(spark, sf_dir):
     return index.entries().groupBy("key").agg(F.sum("value_count").alias("value_count"))
 
 
+def v1_import(spark, sf_dir):
+    """Entries of a JSON-lines fragment, whose runs of rows are a first row and a count."""
+    folder, ev = shared_folder(spark, "v1"), _t(spark, sf_dir, "events")
+    lines = ev.groupBy(F.col("user_id").cast("string").alias("key")).agg(F.array(F.max("user_id").cast("long") * 1000).alias("row_numbers"), F.count(F.lit(1)).alias("value_count"))
+    lines.select("key", F.lit(0).alias("file"), "row_numbers", "value_count").write.json(f"{folder}/buckets")
+    fs = Fs(spark, folder)
+    for name in fs.list("buckets"):
+        if name.endswith(".json"):
+            fs.rename(f"buckets/{name}", f"buckets/{name}l")
+    fs.write("manifest.json", json.dumps({"fragment_id": "old", "files": ["/d/a.parquet"], "num_buckets": 1, "file_idents": [{"path": "/d/a.parquet", "size": 5}]}))
+    entries, files, manifest = read_v1_fragment(spark, folder)
+    index = _new(spark, "ts")
+    index.store.append(manifest["fragment_id"], entries, files, 4, key_columns=["user_id"])
+    rows = F.col("row_numbers")
+    return index.entries().select("key", "value_count", F.size(rows).cast("long").alias("n_rows"), F.element_at(rows, 1).alias("first_row"), F.element_at(rows, -1).alias("last_row"), "file_size")
+
+
+def fragments_on_disk(spark, sf_dir):
+    """A fragment, the same id again, another one, and what compaction leaves of them on disk."""
+    index, out = _new(spark, "ts"), []
+    for name in ("a", "a", "b", None):
+        if name is None:
+            index.compact()
+        else:
+            index.build(f"{sf_dir}/events.parquet", ["user_id"], fragment_id=name, buckets=4)
+        out.append((len(out), len(index.store.registry()), len(index.store.fs.list("fragments")), index.entries().count()))
+    return spark.createDataFrame(out, "step int, n_fragments int, n_folders int, n_entries long")
+
+
+def lake_index(spark, sf_dir):
+    """An index over a generated lake of date and bucket folders."""
+    folder = shared_folder(spark, "lake")
+    layouts.lake(spark, folder, users=40, per_user=6, days=2, buckets=3)
+    index = _new(spark, "timestamp")
+    index.build(folder, ["user_id"], covering=cov.Covering("timestamp", "duration_ms"))
+    c = F.col("covering")
+    return index.entries().groupBy("key").agg(F.sum("value_count").alias("value_count"), F.sum(((c["max_ts"] - c["min_ts"]) / 180_000 >= 4).cast("long")).alias("spans"))
+
+
+def covering_refused(spark, sf_dir):
+    """Covering values of a table that has nothing to cover, and of one that has."""
+    out = []
+    for table, key in (("region", "r_regionkey"), ("events", "user_id")):
+        try:
+            _new(spark, "ts").build(f"{sf_dir}/{table}.parquet", [key], covering=True)
+            out.append((table, True))
+        except ValueError:
+            out.append((table, False))
+    return spark.createDataFrame(out, "name string, built boolean")
+
+
+def _avro(spark, path: str, schema: dict, records: list[dict]) -> None:
+    """Writes an Avro file, by the library that Spark has."""
+    jvm, fs = spark._jvm, Fs(spark, "")
+    generic, kind = jvm.org.apache.avro.generic, jvm.org.apache.avro.Schema.Parser().parse(json.dumps(schema))
+    system, at = fs._p(path)
+    out = system.create(at, True)
+    writer = jvm.org.apache.avro.file.DataFileWriter(generic.GenericDatumWriter(kind)).create(kind, out)
+
+    def record(kind, value):
+        r = generic.GenericData.Record(kind)
+        for k, v in value.items():
+            r.put(k, record(kind.getField(k).schema(), v) if isinstance(v, dict) else v)
+        return r
+
+    for value in records:
+        writer.append(record(kind, value))
+    writer.close()
+
+
+def snapshot_of_a_table(spark, sf_dir):
+    """A table's current snapshot by its metadata folder and Avro manifests: two data files, one that is gone and a position delete; then the same snapshot again."""
+    folder, ev = shared_folder(spark, "table"), _t(spark, sf_dir, "events")
+
+    def file(name, df):
+        df.coalesce(1).write.parquet(f"{folder}/data/{name}")
+        return spark.read.parquet(f"{folder}/data/{name}").select("_metadata.file_path").first()[0]
+
+    d0, d1 = (file(f"d{k}", ev.filter(f"event_id % 2 = {k}")) for k in (0, 1))
+    at = spark.read.parquet(d0).filter("event_id % 7 = 0").select(F.lit(d0).alias("file_path"), F.col("_metadata.row_index").alias("pos"))
+    data = {"type": "record", "name": "f", "fields": [{"name": "file_path", "type": "string"}, {"name": "content", "type": "int"}]}
+    entry = {"type": "record", "name": "e", "fields": [{"name": "status", "type": "int"}, {"name": "data_file", "type": data}]}
+    listed = {"type": "record", "name": "m", "fields": [{"name": "manifest_path", "type": "string"}, {"name": "sequence_number", "type": "long"}]}
+    files = [(1, d0, 0), (1, d1, 0), (2, f"{folder}/data/gone.parquet", 0), (1, file("pos", at), 1)]
+    meta = Fs(spark, f"{folder}/metadata")
+    meta.write("version-hint.text", "1")
+    _avro(spark, meta.path("m.avro"), entry, [{"status": s, "data_file": {"file_path": p, "content": c}} for s, p, c in files])
+    _avro(spark, meta.path("list.avro"), listed, [{"manifest_path": meta.path("m.avro"), "sequence_number": 1}])
+    meta.write("v1.metadata.json", json.dumps({"location": folder, "current-snapshot-id": 7, "snapshots": [{"snapshot-id": 7, "manifest-list": meta.path("list.avro")}]}))
+    index = _new(spark, "ts")
+    first, again = (index_table(index, ["user_id"], folder) for _ in range(2))
+    out = index.entries().groupBy("key").agg(F.sum("value_count").alias("value_count"))
+    return out.withColumns({"files_indexed": F.lit(first.files_indexed), "skipped_again": F.lit(again.skipped)})
+
+
 def stream_index(spark, sf_dir):
     index = _new(spark, "ts")
     folder = shared_folder(spark, "arriving")
@@ -465,6 +642,33 @@ def sql_no_key(spark, sf_dir):
     return run_sql(_events(spark, sf_dir), "select count(*) as n from hits")
 
 
+def sql_accepted(spark, sf_dir):
+    """Which statements run over the rows of a key."""
+    out = []
+    for text in _STATEMENTS:
+        try:
+            run_sql(_events(spark, sf_dir), text, "13")
+            out.append((text, True))
+        except LodestoneError:
+            out.append((text, False))
+    return spark.createDataFrame(out, "statement string, accepted boolean")
+
+
+_STATEMENTS = {
+    "select count(*) from hits": True,
+    "with h as (select * from hits) select * from h": True,
+    "select * from key_lookup('14')": True,
+    "select 1": False,
+    "select * from other": False,
+    "select * from hits join parquet.`/tmp/x` p on true": False,
+    "insert overwrite directory '/tmp/x' using parquet select * from hits": False,
+    "create temporary view v as select * from hits": False,
+    "select (select max(a) from other) from hits": False,
+    "show tables": False,
+    "set spark.sql.ansi.enabled = false": False,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
         key_bucket, key_text_timestamp, postings_by_key, compound_key_index, timestamp_key_index, covering_flat, covering_orders, cogroup_sizes, blob_expand,
@@ -472,7 +676,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         covering_only, min_count_entries, entries_by_predicate, explain_counts, index_stats, stats_of_fragments, verify_files, verify_rows, verify_changed, full_scan, compound_lookup, json_sink, json_sink_types,
         secondary_exact, secondary_range, secondary_prefix, secondary_rows, secondary_rows_all, secondary_page, secondary_deleted, secondary_second_fragment, secondary_lineitem,
         equality_delete, position_delete, lookup_deleted, dropped_and_superseded, tombstones_and_forgotten, compact_last_wins, forget_and_compact, duplicate_fragments, snapshot_files_diff, snapshot_index, stream_index,
-        sql_key_lookup, sql_no_key,
+        sql_key_lookup, sql_no_key, sql_accepted,
+        lookup_order, lookup_alias, lookup_dedupe, lookup_totals, lookup_changed_file, explain_pages, time_arguments, percentiles, secondary_items,
+        v1_import, fragments_on_disk, lake_index, covering_refused, snapshot_of_a_table,
     ]
     out = {f.__name__: f for f in plain}
     out |= {f"layout_{n}": _layout_covering(n, s) for n, s in (("unsorted", "flat"), ("sorted", "flat"), ("key_pages", "flat"), ("cogrouped", "nested"), ("blob", "blob"))}
@@ -517,6 +723,21 @@ def oracle_sql() -> dict[str, str]:
         "stats_of_fragments": "select 1::bigint num_files, 1::bigint num_fragments, 16::bigint num_buckets, 'user_id' key_columns",
         "entries_by_predicate": f"select user_id::varchar as key, count(*)::bigint value_count from events group by 1 having count(*) >= 60 and max(epoch_us(ts) // 1000) >= {_T1} and min(epoch_us(ts) // 1000) <= {_T1 + 86_400_000}",
         "json_sink_types": "select event_id, event_type t, value::decimal(12,2)::varchar d, '0.00' zero, lower(hex(event_type::blob)) raw, case when value > 50 then null else 0.5::double end x, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') ts from events",
+        "sql_accepted": "select * from (values " + ", ".join(f"('{t.replace(chr(39), chr(39) * 2)}', {str(ok).lower()})" for t, ok in _STATEMENTS.items()) + ") v(statement, accepted)",
+        "lookup_order": "select event_id, row_number() over (order by epoch_us(ts) // 1000, event_id) - 1 as at from events where user_id = 13",
+        "lookup_alias": "select epoch_us(ts) // 1000 ts_ms, floor(value * 100)::bigint duration_ms from events where user_id = 13",
+        "lookup_dedupe": f"select {_EVENT_SQL} from events where user_id = 13",
+        "lookup_totals": "select v.name, case when v.skipped = 0 then (select count(*) from events where user_id = 13) else 0 end::bigint value_count, v.skipped::bigint skipped, v.files::bigint files from (values ('all', 0, 1), ('late', 1, 0), ('few', 1, 0), ('index', 0, 0)) v(name, skipped, files)",
+        "lookup_changed_file": "select 'before' as name, count(*)::varchar found from events where user_id = 13 union all select 'after', 'stale_file_identity'",
+        "explain_pages": "select count(*)::bigint n_rows, true small, true ranged from events where user_id = 13",
+        "time_arguments": "select * from (select text, e end_of_day, case when text ~ '^-?[0-9]+$' then text::bigint when length(text) = 10 then epoch_ms(text::timestamp) + case when e then 86399999 else 0 end else epoch_ms(text::timestamptz) end ms from (values " + ", ".join(f"('{t}')" for t in _TIMES) + ") t(text), (values (false), (true)) b(e))",
+        "percentiles": "select p::double p, list_extract(list_sort(vs), (round_even((len(vs) - 1) * p::double, 0) + 1)::bigint) as value from (select list(n_nationkey::double) vs from nation), (values (0.0), (0.25), (0.5), (0.9), (0.99), (1.0)) v(p)",
+        "secondary_items": "select event_type dim, user_id::varchar as key, count(*)::bigint value_count from events group by 1, 2",
+        "v1_import": "select user_id::varchar as key, count(*)::bigint value_count, count(*)::bigint n_rows, user_id::bigint * 1000 first_row, user_id::bigint * 1000 + count(*) - 1 last_row, 5::bigint file_size from events group by user_id",
+        "fragments_on_disk": "select v.step::integer step, v.n::integer n_fragments, v.n::integer n_folders, (v.e * (select count(distinct user_id) from events))::bigint n_entries from (values (0, 1, 1), (1, 1, 1), (2, 2, 2), (3, 1, 1)) v(step, n, e)",
+        "lake_index": "select 'user_' || lpad(i::varchar, 4, '0') as key, 6::bigint value_count, 1::bigint spans from range(40) r(i)",
+        "covering_refused": "select * from (values ('region', false), ('events', true)) v(name, built)",
+        "snapshot_of_a_table": "select user_id::varchar as key, count(*)::bigint value_count, 2::integer files_indexed, true skipped_again from events where event_id % 14 <> 0 group by 1",
         "full_scan": f"select {_EVENT_SQL} from events where user_id = 13",
         "compound_lookup": "select l_orderkey, l_linenumber, l_partkey, l_quantity from lineitem where l_orderkey = 7 and l_linenumber = 1",
         "json_sink": "select event_id, event_type from events where user_id = 13",
