@@ -27,6 +27,15 @@ from .liveness import live_entries
 
 FILES = "file_path string, file_size bigint, file_mtime_ms bigint, file_etag string, role string"
 FORMAT_VERSION = 1
+#: Bytes of source tables for each task that writes entries; with more than that to a bucket, several tasks write it, each some of its keys.
+TASK_BYTES = 256 << 20
+
+
+def _source_bytes(df: DataFrame) -> int:
+    """The bytes of the tables that df reads, by Spark's own figures; a table of unknown size counts as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 55)
 
 
 class Store:
@@ -74,7 +83,10 @@ class Store:
                 if name not in entries.columns:
                     columns[name] = missing
             out = entries.withColumns(columns).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMA])
-            out = out.repartition("bucket").sortWithinPartitions("bucket", "key", "file_path")
+            parts = -(-_source_bytes(entries) // TASK_BYTES)
+            split = -(-parts // buckets)
+            out = out.repartition(buckets * split, "bucket", F.pmod(F.xxhash64("key"), F.lit(split))) if split > 1 else out.repartition("bucket")
+            out = out.sortWithinPartitions("bucket", "key", "file_path")
             fresh = f"{at}.new" if fragment_id in known else at
             out.write.mode("overwrite").partitionBy("bucket").parquet(self.fs.path(f"{fresh}/entries"))
             names = [f.split()[0] for f in FILES.split(", ")]

@@ -11,6 +11,7 @@ from lodestone.operators.index import Index, QueryOptions, naive_scan
 from lodestone.operators.postings import apply_equality_deletes, canonical
 from lodestone.operators.secondary import Secondary
 from lodestone.operators.sql_scope import run_sql
+from lodestone.plans import store
 from lodestone.plans.fs import Fs
 from lodestone.plans.liveness import live_entries
 from lodestone.sources import layouts
@@ -136,6 +137,19 @@ def test_lifecycle(spark, listens, tmp_path):
     assert s.lookup_prefix("track").select("key").distinct().count() == 23
 
 
+def test_large_buckets_are_written_by_many_tasks(spark, listens, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "TASK_BYTES", 64)
+    index = Index(spark, str(tmp_path / "i"))
+    index.build(listens, ["user_id"], buckets=2, fragment_id="a")
+    per = [len(list(p.glob("*.parquet"))) for p in (tmp_path / "i" / "fragments" / "a" / "entries").glob("bucket=*")]
+    assert len(per) == 2 and max(per) > 1
+    plain = Index(spark, str(tmp_path / "j"))
+    monkeypatch.undo()
+    plain.build(listens, ["user_id"], buckets=2, fragment_id="a")
+    rows = lambda i: sorted((r.key, r.file_path, r.row_numbers) for r in i.entries().collect())
+    assert rows(index) == rows(plain) and rows(index)
+
+
 def test_same_fragment_id_overwrites(spark, listens, tmp_path):
     index = Index(spark, str(tmp_path / "i"))
     for _ in range(2):
