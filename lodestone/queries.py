@@ -277,12 +277,14 @@ def lookup_totals(spark, sf_dir):
 
 
 def explain_pages(spark, sf_dir):
-    """The rows of a key on a layout with small pages; whether its pages are less than a tenth of the file; whether ranges are no more than pages."""
+    """The rows of a key on the layout with pages of 100 rows; whether each column has as few pages as a run of so many rows can stand on; whether ranges are no more than pages and bytes no more than the files."""
     index = _new(spark, "timestamp")
     index.build(_layout(spark, sf_dir, "key_pages"), ["user_id"])
     e = index.explain("13", pages=True)
+    n, pages = e["estimated_rows"], [p["column"] for p in e["page_descriptions"]]
     size = index.store.files().filter("role = 'live'").agg(F.sum("file_size")).first()[0]
-    return spark.createDataFrame([(e["estimated_rows"], e["estimated_bytes"] < size / 10, 0 < e["estimated_range_gets"] <= len(e["page_descriptions"]))], "n_rows long, small boolean, ranged boolean")
+    few = all(-(-n // 100) <= pages.count(c) <= (n - 2) // 100 + 2 for c in set(pages))
+    return spark.createDataFrame([(n, len(set(pages)), few, 0 < e["estimated_range_gets"] <= len(pages) and e["estimated_bytes"] < size)], "n_rows long, n_columns long, few boolean, within boolean")
 
 
 def lookup_changed_file(spark, sf_dir):
@@ -729,7 +731,7 @@ def oracle_sql() -> dict[str, str]:
         "lookup_dedupe": f"select {_EVENT_SQL} from events where user_id = 13",
         "lookup_totals": "select v.name, case when v.skipped = 0 then (select count(*) from events where user_id = 13) else 0 end::bigint value_count, v.skipped::bigint skipped, v.files::bigint files from (values ('all', 0, 1), ('late', 1, 0), ('few', 1, 0), ('index', 0, 0)) v(name, skipped, files)",
         "lookup_changed_file": "select 'before' as name, count(*)::varchar found from events where user_id = 13 union all select 'after', 'stale_file_identity'",
-        "explain_pages": "select count(*)::bigint n_rows, true small, true ranged from events where user_id = 13",
+        "explain_pages": 'select count(*)::bigint n_rows, 4::bigint n_columns, true as few, true as "within" from events where user_id = 13',
         "time_arguments": "select * from (select text, e end_of_day, case when text ~ '^-?[0-9]+$' then text::bigint when length(text) = 10 then epoch_ms(text::timestamp) + case when e then 86399999 else 0 end else epoch_ms(text::timestamptz) end ms from (values " + ", ".join(f"('{t}')" for t in _TIMES) + ") t(text), (values (false), (true)) b(e))",
         "percentiles": "select p::double p, list_extract(list_sort(vs), (round_even((len(vs) - 1) * p::double, 0) + 1)::bigint) as value from (select list(n_nationkey::double) vs from nation), (values (0.0), (0.25), (0.5), (0.9), (0.99), (1.0)) v(p)",
         "secondary_items": "select event_type dim, user_id::varchar as key, count(*)::bigint value_count from events group by 1, 2",
