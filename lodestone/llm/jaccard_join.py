@@ -191,6 +191,15 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(a) else 0
 
 
+def one_key(posts: DataFrame) -> DataFrame:
+    """Of keys that the same nodes have (as those of a passage), the posts of the least; 128 bits say which nodes a key has.
+
+    posts: node, n, key; a node has a key once."""
+    of = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "node"))
+    same = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), of(1).alias("x"), of(2).alias("y"))
+    return posts.join(same.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 class _Join:
     """One run: the tables it has written and what they need."""
 
@@ -274,20 +283,31 @@ class _Join:
 
         return full.mapInArrow(exact, "a long, b long")
 
+    def band(self) -> Column:
+        return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int")
+
     def blocks_of(self, rest: DataFrame, nodes: DataFrame) -> DataFrame:
         """Open tiles as blocks (key, band, i, j): the nodes of a band of size, and those of other components than the tile's largest, which ask.
 
-        rest: node, n, key, label, m (nodes in the tile), few (those that ask), major (the largest component)."""
+        A node goes only where one of another component may be of like size: labels stay apart that far while a tile has two.
+
+        rest: node, n, key, label, m (nodes in the tile), few (those that ask), major (the largest component), labels (components),
+        most, least (bits of the bands that the largest and the smallest component have), bands (those of all)."""
         end = F.array_repeat(F.lit(2**63 - 1).cast("long"), FIRST)
         first = rest.groupBy("node").agg(F.slice(F.concat(F.array_sort(F.collect_list("key")), end), 1, FIRST).alias("first"))  # no more than its prefix
-        rows = rest.join(nodes.select("node", "sig").join(first, "node"), "node").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / self.percent)).cast("int"))
+        two, major, has = F.col("labels") == 2, F.col("label") == F.col("major"), lambda of, b: F.call_function("shiftright", of, F.pmod(b, F.lit(64))).bitwiseAND(F.lit(1).cast("long")) == 1
+        near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
+        to = F.when(~major, F.filter(near, lambda b: has(F.when(two, F.col("most")).otherwise(F.col("bands")), b))).otherwise(F.array().cast("array<int>"))
+        met = F.when(two, major & F.exists(near, lambda b: has(F.col("least"), b))).otherwise(F.lit(True))
+        rest = rest.withColumn("band", self.band()).withColumn("to", to).withColumn("met", met).filter("met or size(to) > 0")
+        rows = rest.select("node", "n", "key", "label", "m", "few", "band", "to", "met").join(nodes.select("node", "sig").join(first, "node"), "node")
         part = lambda c: F.ceil(F.col(c) / BLOCK_NODES).cast("int")
         of = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), "node"), part(c)).cast("int")
         each = lambda c: F.explode(F.sequence(F.lit(0), part(c) - 1))
         cols = ["key", "band", "i", "j", "node", "n", "label", "sig", "asks", "first"]
-        there = rows.withColumn("j", of("m", "j")).withColumn("i", each("few")).withColumn("asks", F.lit(False))
-        asks = rows.filter("label <> major").withColumn("i", of("few", "i")).withColumn("j", each("m")).withColumn("asks", F.lit(True))
-        asks = asks.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        there = rows.filter("met").withColumn("j", of("m", "j")).withColumn("i", each("few")).withColumn("asks", F.lit(False))
+        asks = rows.filter("size(to) > 0").withColumn("i", of("few", "i")).withColumn("j", each("m")).withColumn("asks", F.lit(True))
+        asks = asks.withColumn("band", F.explode("to"))
         return there.select(*cols).unionByName(asks.select(*cols))
 
     def candidates_in(self, blocks: DataFrame, every: bool) -> DataFrame:
@@ -324,12 +344,15 @@ class _Join:
 
     def links(self, cand: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Enough of the links between nodes to have their components; the nodes (s1, s2, node); the components (node, label)."""
-        s, p = self.scratch, self.percent
+        s, band = self.scratch, self.band()
         names = s.write("nodes", cand.groupBy("s1", "s2").agg(F.min("rid").alias("node")))
         nodes = cand.withColumnRenamed("rid", "node")  # rows of equal sets but the least are in no pair
-        band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / p)).cast("int")
         posts = cand.select("rid", "n", "keys").join(names.select(F.col("node").alias("rid")), "rid", "left_semi")
         posts = s.write("posts", posts.select(F.col("rid").alias("node"), "n", F.explode("keys").alias("key")))
+        shared = s.write("shared", posts.join(posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "key", "left_semi"))
+        s.drop("posts")
+        posts = s.write("tiles", one_key(shared))
+        s.drop("shared")
         tiles = posts.groupBy("key", band.alias("band")).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         first = posts.withColumn("band", band).join(tiles, ["key", "band"]).groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).filter("a <> b")
         first = s.write("pairs-0", first.select("a", "b"))
@@ -339,8 +362,18 @@ class _Join:
         rest = posts
         for k, every in enumerate((False, True), 1):
             rest = rest.select("node", "n", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-            open_ = sizes.groupBy("key").agg(F.sum("m").alias("m"), (F.sum("m") - F.max("m")).alias("few"), F.max_by("label", F.struct("m", "label")).alias("major")).filter("few > 0")
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(band, F.lit(64)))
+            sizes = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.bit_or(bit).alias("bands"))
+            at = F.struct("m", "label")
+            open_ = sizes.groupBy("key").agg(
+                F.sum("m").alias("m"),
+                (F.sum("m") - F.max("m")).alias("few"),
+                F.max_by("label", at).alias("major"),
+                F.count(F.lit(1)).alias("labels"),
+                F.max_by("bands", at).alias("most"),
+                F.min_by("bands", at).alias("least"),
+                F.bit_or("bands").alias("bands"),
+            ).filter("few > 0")
             rest = s.write(f"rest-{k}", rest.join(open_, "key"))
             if rest.isEmpty():  # all tiles are done
                 break
@@ -349,7 +382,7 @@ class _Join:
             links = s.write(f"links-{k}", links.unionByName(found))
             labels = components(s, links, f"cc{k}")
             s.drop(f"pairs-{k}", f"pairs-{k}-named", f"links-{k - 1}", f"cc{k - 1}")
-        s.drop("posts", "rest-1", "rest-2", "candidates")
+        s.drop("tiles", "rest-1", "rest-2", "candidates")
         return links, names, labels
 
 

@@ -278,6 +278,24 @@ def test_jaccard_join_odd(spark):
     assert jaccard_join.jaccard_components(docs(spark, *rows).limit(0)).count() == 0
 
 
+def test_jaccard_join_blocks(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    passage = [" ".join(f"p{k}w{x}" for x in r.permutation(40)) for k in range(6)]
+    rows = [(10 * a + b, f"{passage[a]} {passage[b]}", "") for a in range(6) for b in range(a)]  # a passage has five texts, none of which link
+    seen, was = [], jaccard_join._Join.candidates_in
+
+    def candidates_in(self, blocks, every):
+        seen.append(blocks.select("key", "band", "i", "j", "asks").toPandas())
+        return was(self, blocks, every)
+
+    monkeypatch.setattr(jaccard_join._Join, "candidates_in", candidates_in)
+    assert near(spark, rows) == brute_jaccard(rows)
+    assert len(seen) == 2
+    for blocks in seen:
+        assert 6 <= blocks["key"].nunique() <= 6 * 4  # of the keys that the same texts have, one; a key has two to five
+        assert (blocks.groupby(["key", "band", "i", "j"])["asks"].nunique() == 2).all()  # all texts are of one size: nothing goes to other bands
+
+
 def test_components(spark):
     s = Scratch(spark)
     pairs = [(k, k + 1) for k in range(1, 40)] + [(100, 200), (200, 300), (7, 7), (500, 100)]
