@@ -20,7 +20,7 @@ from ..functions.times import millis
 from ..plans.liveness import last_wins
 from ..plans.store import Store
 from ..sources.pages import coalesce_ranges, page_locations
-from .postings import SCHEMA, postings, readable, with_address
+from .postings import SCHEMA, join_at, postings, readable, with_address
 
 #: Keys of one batch that are sent as literals; more are joined.
 MANY_KEYS = 200
@@ -196,19 +196,22 @@ class Index:
             reader = reader.schema(T.StructType.fromJson(json.loads(known.pop())))
         return reader.parquet(*[readable(f) for f in files])
 
-    def data_of(self, entries: DataFrame) -> DataFrame | None:
-        """The data that entries name, or None if they name none. Up to LISTED files are listed; beyond, the folders that the fragments were
-        built from are read, if the manifests have them, so that the driver holds no list that grows with the lake."""
-        named = entries.select("file_path").distinct()
-        files = [r[0] for r in named.limit(LISTED + 1).collect()]
+    def data_of(self, entries: DataFrame) -> tuple[DataFrame | None, bool]:
+        """The data that entries name, or None if they name none; and whether the rows that they name are few enough to be sent to all tasks.
+
+        Up to LISTED files are listed; beyond, the folders that the fragments were built from are read, if the manifests have them, so
+        that the driver holds no list that grows with the lake."""
+        named = entries.groupBy("file_path").agg(F.sum(F.size("row_numbers")).alias("n"))
+        found = named.limit(LISTED + 1).collect()
+        files, few = [r.file_path for r in found], len(found) <= LISTED and sum(r.n or 0 for r in found) <= FEW_ROWS
         ms = self.store.manifests()
         if len(files) > LISTED:
             whole = {m["fragment_id"]: m.get("paths") for m in ms if m["key_columns"]}
             if all(whole.values()):
                 paths = list(dict.fromkeys(p for v in whole.values() for p in v))
-                return self.spark.read.schema(self.table_schema()).option("recursiveFileLookup", "true").option("pathGlobFilter", PARQUET).parquet(*paths)
-            files = [r[0] for r in named.toLocalIterator()]
-        return self.read_files(files, [m["fragment_id"] for m in ms if m["key_columns"]]) if files else None
+                return self.spark.read.schema(self.table_schema()).option("recursiveFileLookup", "true").option("pathGlobFilter", PARQUET).parquet(*paths), few
+            files = [r.file_path for r in named.toLocalIterator()]
+        return self.read_files(files, [m["fragment_id"] for m in ms if m["key_columns"]]) if files else None, few
 
     def _project(self, rows: DataFrame, opts: QueryOptions) -> DataFrame:
         if opts.columns and "*" not in opts.columns:
@@ -280,7 +283,7 @@ class Index:
             cut = F.broadcast(self.spark.createDataFrame(spans, "seq long, file_path string, _from int, _n int"))  # a row per entry, as collected above
             at = entries.join(cut, ["seq", "file_path"]).select(F.col("file_path").alias("_file"), F.explode(F.slice("row_numbers", F.col("_from") + 1, F.col("_n"))).alias("_row"))
             few = sum(n for _, _, _, n in spans) <= FEW_ROWS
-            rows = rows.join(F.broadcast(at) if few else at, ["_file", "_row"])
+            rows = join_at(rows, at, ["_file", "_row"], few)
         rows, names, ms = expand_items(rows, data.schema, self.time_column)
         order = [F.col("_file"), F.col("_row"), F.col("_item")]
         if ms is not None:
@@ -315,15 +318,16 @@ class Index:
         if opts.offset or opts.limit is not None:
             at = at.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("seq", "_file", "_pos"))).filter(F.col("_n") > opts.offset)
             at = at.filter(F.col("_n") <= opts.offset + opts.limit) if opts.limit is not None else at
-        data = self.data_of(entries)
+        data, few = self.data_of(entries)
         if data is None:
             return self._empty(opts).withColumn("key", F.lit(""))
+        few = few or (literal is not None and opts.limit is not None and len(literal) * opts.limit <= FEW_ROWS)
         columns = self.key_columns()
         rows = with_address(data).drop("_size", "_mtime")
         if literal is not None:
             rows = rows.filter(typed_any(data.schema, columns, literal))
         # the key is no more than the address tells, but a filter on it can be made from the keys' side before rows travel
-        rows = rows.withColumn("_key", key_expr(data.schema, columns)).join(at.select(F.col("key").alias("_key"), "_file", "_row"), ["_key", "_file", "_row"])
+        rows = join_at(rows.withColumn("_key", key_expr(data.schema, columns)), at.select(F.col("key").alias("_key"), "_file", "_row"), ["_key", "_file", "_row"], few)
         rows, names, ms = expand_items(rows, data.schema, self.time_column)
         if ms is not None:
             rows = rows.filter(time_window(ms, opts))

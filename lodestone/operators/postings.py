@@ -96,7 +96,14 @@ def postings(data: DataFrame, keys: Sequence[str], covering: cov.Covering | None
     return out.withColumn("value_count", F.coalesce("covering.value_count", "_rows")).drop("_rows")
 
 
-def rows_at(data: DataFrame, entries: DataFrame) -> DataFrame:
+def join_at(rows: DataFrame, at: DataFrame, on: Sequence[str], few: bool) -> DataFrame:
+    """rows at addresses that come from lists of row numbers. few: they are sent to all tasks; otherwise both sides are dealt by address.
+
+    Never left to Spark: it takes the addresses for as large as the compressed lists, a small part of what they need in each task's memory."""
+    return rows.join(F.broadcast(at) if few else at.hint("merge"), list(on))
+
+
+def rows_at(data: DataFrame, entries: DataFrame, few: bool = False) -> DataFrame:
     """The rows of data that entries name, once for each time they name it; with _file, _row."""
     at = entries.select(F.col("file_path").alias("_file"), F.explode("row_numbers").alias("_row"))
-    return with_address(data).drop("_size", "_mtime").join(at, ["_file", "_row"])
+    return join_at(with_address(data).drop("_size", "_mtime"), at, ["_file", "_row"], few)

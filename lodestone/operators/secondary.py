@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.covering import blob_items
 from ..functions.keys import key_expr, key_text
 from .index import Index
-from .postings import rows_at, with_address
+from .postings import join_at, rows_at, with_address
 
 REFS = "dim string, key string, file_path string, row_numbers array<bigint>, value_count bigint, seq bigint"
 
@@ -68,15 +68,7 @@ class Secondary:
         for folder, m in folders.items():
             if folder.rsplit("/", 1)[1] in there:
                 continue
-            entries = self.index.store.entries().filter((F.col("fragment_id") == m["fragment_id"]) & ~F.col("tombstone"))
-            data = self.index.data_of(entries)
-            if data is None:
-                refs = self.index.spark.createDataFrame([], REFS)
-            else:
-                at = entries.select("key", "file_path", F.explode("row_numbers").alias("_row"))
-                dim = _dimension(data, self.dimension, **spec).alias("dim")
-                rows = with_address(data).select(F.col("_file").alias("file_path"), "_row", dim).join(at, ["file_path", "_row"])
-                refs = _grouped(rows).withColumn("seq", F.lit(m["seq"]).cast("long"))
+            refs = self._refs_of(m, spec)
             refs.repartitionByRange(F.col("dim"), F.col("key")).sortWithinPartitions("dim", "key").write.mode("overwrite").parquet(fs.path(f"{folder}.new"))
             fs.rename(f"{folder}.new", folder)
         for name in there - {"spec.json", *(f.rsplit("/", 1)[1] for f in folders)}:
@@ -84,6 +76,17 @@ class Secondary:
                 fs.delete(f"{self.path}/{name}")
         return list(folders)
 
+    def _refs_of(self, m: dict, spec: dict) -> DataFrame:
+        """The refs of a fragment, of its manifest."""
+        entries = self.index.store.entries().filter((F.col("fragment_id") == m["fragment_id"]) & ~F.col("tombstone"))
+        data, few = self.index.data_of(entries)
+        if data is None:
+            return self.index.spark.createDataFrame([], REFS)
+        at = entries.select("key", "file_path", F.explode("row_numbers").alias("_row"))
+        dim = _dimension(data, self.dimension, **spec).alias("dim")
+        rows = join_at(with_address(data).select(F.col("_file").alias("file_path"), "_row", dim), at, ["file_path", "_row"], few)
+        return _grouped(rows).withColumn("seq", F.lit(m["seq"]).cast("long"))
+
     def _live(self, test: Column | None = None) -> DataFrame:
         """Refs whose entry is live now: forgotten keys, dropped and superseded files do not show."""
         index = self.index
@@ -115,8 +118,8 @@ class Secondary:
 
     def rows(self, refs: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
         """The data rows that refs name, by file and row, each once; pages count rows."""
-        data = self.index.data_of(refs)
+        data, few = self.index.data_of(refs)
         if data is None:
             return self.index.spark.createDataFrame([], self.index.table_schema())
-        out = rows_at(data, refs).dropDuplicates(["_file", "_row"]).orderBy("_file", "_row").offset(offset)
+        out = rows_at(data, refs, few).dropDuplicates(["_file", "_row"]).orderBy("_file", "_row").offset(offset)
         return (out.limit(limit) if limit is not None else out).drop("_file", "_row")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import SqlScopeError
 from ..functions.keys import key_expr
 from .index import Index, QueryOptions, expand_items
+from .postings import join_at
 
 _SCOPE = "SQL runs over the rows of looked-up keys: it may name only `hits` and key_lookup('key')"
 
@@ -97,12 +98,12 @@ def _of_key(index: Index, key: str) -> DataFrame:
 def _of_any_key(index: Index) -> DataFrame:
     """All live rows with their _key, for arguments that the plan does not tell."""
     entries = index.entries()
-    data = index.data_of(entries)
+    data, few = index.data_of(entries)
     if data is None:
         return index._empty(QueryOptions()).drop("source_file", "row_number").withColumn("_key", F.lit(""))
     m = F.col("_metadata")
     rows = data.select("*", key_expr(data.schema, index.key_columns()).alias("_key"), m["file_path"].alias("_file"), m["row_index"].alias("_row"))
     live = entries.select(F.col("key").alias("_key"), F.col("file_path").alias("_file"), F.explode("row_numbers").alias("_row"))
-    rows = rows.join(live, ["_key", "_file", "_row"])  # as often as entries name them, as in a lookup
+    rows = join_at(rows, live, ["_key", "_file", "_row"], few)  # as often as entries name them, as in a lookup
     rows, cols, _ = expand_items(rows.drop("_row", "_file"), data.schema, index.time_column)
     return rows.select(*[F.col(f"`{c}`") for c in cols], "_key")
